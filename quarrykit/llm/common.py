@@ -18,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without it, as in
-    tests, gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a session without it, as in tests, gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -54,11 +56,11 @@ def keep_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
-    """The whole text in parts of about ``most`` characters, cut at white space, so that memory stays bounded."""
+    """The whole text in parts of about ``most`` characters, cut at ASCII white space, so that memory stays bounded."""
     at = 0
     while len(text) - at > most:
         end = at + most
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and text[end] not in " \t\n\v\f\r":
             end += 1
         yield text[at:end]
         at = end

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import WHITE, cut, table, words
+from quarrykit.llm.common import WHITE, cut, table, text_hash, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -31,7 +31,7 @@ BUCKET = 1000
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"), WHITE)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", text_hash(F.col("text")).alias("text_hash"), F.size(words(F.col("text"), WHITE)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -109,14 +109,14 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken) for every document."""
+    """(doc_id, text_hash, source, size, source_size, target, repeats, taken) for every document."""
     sized = cut(token_counts(docs))
     targets = cut(source_targets(sized, weights))
     # one row per source; Spark broadcasts it if its measured size allows
-    keyed = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.sid", "t.source_size", "t.target")
+    keyed = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.text_hash", "d.size", "t.sid", "t.source_size", "t.target")
     histogram = keyed.filter("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     plan = cut(histogram.groupBy("sid").applyInPandas(plan_source, "sid int, size long, n long, whole int, take long"))
-    out = ["doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")]
+    out = ["doc_id", "text_hash", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")]
     empty = keyed.filter("size = 0").withColumn("repeats", F.lit(0)).select(*out)  # need no rank
     placed = keyed.filter("size > 0").join(plan, ["sid", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / BUCKET)))
     cell = Window.partitionBy("sid", "size", "bucket")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "url_filter", "sharding", "decontaminate")
+MODULES = ("decontaminate", "main_text", "near_dup", "sharding", "language", "archive", "neighbours", "url_filter", "toxicity", "mixing")
 
 
 def gathered(name: str) -> dict:
