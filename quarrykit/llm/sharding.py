@@ -13,6 +13,7 @@ column stay together. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -44,8 +45,11 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 
 def nodes_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """At most one row per shard."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """At most one row per shard, as a literal, so that no Python runs on executors."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    typed = ", ".join(":".join(part.split()) for part in schema.split(", "))
+    return F.broadcast(spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{typed}>>"))))
 
 
 def medians(keyed: DataFrame, goals: dict[int, float], near: float) -> dict[int, int]:
@@ -83,7 +87,7 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     if not shards:
         shards = max(1, math.ceil((overall["bytes"] or 0) / target_bytes))
     wide = {c: (overall[f"max_{c}"] - overall[f"min_{c}"]) or 1.0 for c in DIMENSIONS} if overall["rows"] else {}
-    tree, placed, level = {0: shards} if overall["rows"] else {}, meta.withColumn("node", F.lit(0)), 0
+    tree, placed, level = {0: shards} if overall["rows"] else {}, meta.withColumn("node", F.least("size", F.lit(0)).cast("int")), 0  # 0, but no literal: joins stay equi-joins
     while any(k > 1 for k in tree.values()):
         splits, goals = [], {}
         for row in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *dims).collect():
