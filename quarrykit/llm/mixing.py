@@ -2,7 +2,8 @@
 
 Documents are counted by exact token length within each source. A source whose target is above its own size is
 passed over whole as often as it fits; what is left of its budget is filled from the length histogram: an equal
-share of every length, then long documents while they fit, then a bounded knapsack over the lengths not used up.
+share of every length, then long documents, up to KNAPSACK words below the budget, and these by a bounded knapsack
+over the documents not used up, exactly if any subset of them allows.
 Documents are then selected by seeded hash order, as many of each length as the plan says.
 
 Nulls and odd rows: a null text has no words and is never taken; a null source is a source of its own, last in
@@ -69,8 +70,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSA
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
-    # an equal share of every length, in whole numbers
-    taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    # an equal share of every length, in whole numbers, but for what the knapsack is to fill
+    bulk = max(0, budget - most)
+    taken = np.array([int(c) * bulk // total for c in counts], dtype=np.int64)
     rest = budget - int((lengths * taken).sum())
     for i in np.argsort(-lengths):  # long ones while they leave enough for a fit by short ones
         if rest > most and lengths[i] <= rest - most // 2:
