@@ -266,7 +266,7 @@ def test_mixing(spark, rows, odd, none):
             break
         capped |= more
     for s, t in target.items():
-        sizes, goal = got["size"][got["source"] == s].tolist(), round(t) % by["size"][s] if round(t) < 3 * by["size"][s] else 0
+        sizes, goal = got["size"][got["source"] == s].tolist(), int(round(t) % by["size"][s] if round(t) < 3 * by["size"][s] else 0)
         reach = 1
         for n in sizes:
             reach |= reach << n
