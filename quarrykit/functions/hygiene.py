@@ -49,8 +49,8 @@ def unit_of(name: str) -> str | None:
 
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words and numbers that stand alone, of two characters or more, without stop words."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    return F.filter(runs, lambda t: t.rlike("^[a-z0-9]{2,}$") & ~t.isin(*STOP_WORDS))
+    alone = r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{N}_])"
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(alone), 0), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def chunk_hash(text: Column) -> Column:

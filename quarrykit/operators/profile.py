@@ -21,12 +21,20 @@ def unpivoted(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: count, distinct, min, max, mean, median, std (null for one row), sum, unit."""
+    """One row per column: count, distinct, min, max, mean, median, std (null for one row), sum, unit.
+
+    Moments are one plain aggregate. Distinct values and median come from counts by value, which combine before the
+    shuffle, so that neither a distinct expansion nor a sort of all values is needed.
+    """
     columns = columns or numeric_columns(df)
-    v = F.col("value")
-    found = unpivoted(df, columns, "double").groupBy("name").agg(F.count(v).alias("non_null"), (F.count("*") - F.count(v)).alias("nulls"), F.count_distinct(v).alias("distinct"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.sum(v).alias("sum"))
-    units = [x for c in columns if unit_of(c) for x in (F.lit(c), F.lit(unit_of(c)))]
-    return found.withColumn("unit", F.element_at(F.create_map(*units), F.col("name")) if units else F.lit(None).cast("string"))
+    found = {"non_null": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
+    one = df.agg(F.count("*").alias("rows"), *[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in found.items()])
+    unit = [F.lit(unit_of(c)).cast("string").alias("unit") for c in columns]
+    rows = [F.struct(F.lit(c).alias("name"), (F.col("rows") - F.col(f"non_null_{i}")).alias("nulls"), *[F.col(f"{n}_{i}").alias(n) for n in found], unit[i]) for i, c in enumerate(columns)]
+    moments = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    by_value = unpivoted(df, columns, "double").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    values = by_value.groupBy("name").agg(F.count("*").alias("distinct"), F.percentile("value", 0.5, F.col("n")).alias("median"))
+    return moments.join(values, "name", "left").select("name", "non_null", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "mean", "median", "std", "sum", "unit")
 
 
 def completeness(df: DataFrame) -> DataFrame:

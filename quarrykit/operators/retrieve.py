@@ -20,8 +20,9 @@ def bm25(docs: DataFrame, text: str, query: list[str], k: int = 10, within: Colu
     two scans without a shuffle of postings suffice. ``within`` filters what may be returned; statistics are of all.
     """
     terms = Counter(query)
-    marked = docs.withColumn("_tokens", tokens(F.col(text))).withColumn("_dl", F.size("_tokens"))
-    marked = marked.withColumn("_tf", F.array(*[F.size(F.filter("_tokens", F.lit(t).__eq__)) for t in terms])).drop("_tokens")
+    counted = lambda ts: F.struct(F.size(ts).alias("dl"), F.array(*[F.size(F.filter(ts, F.lit(t).__eq__)) for t in terms]).alias("tf"))
+    # a lambda over one element: the tokens are made once per row, however many terms ask for them
+    marked = docs.withColumn("_c", F.transform(F.array(tokens(F.col(text))), counted)[0]).withColumns({"_dl": F.col("_c.dl"), "_tf": F.col("_c.tf")}).drop("_c")
     r = marked.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, average = F.lit(float(r["n"])), r["avgdl"] or 1.0
     parts = []
