@@ -11,12 +11,41 @@ from pyspark.sql import types as T
 
 from quarrykit.operators import aggregate, profile, trend
 
-# Words and phrases of each mode, matched anywhere in the lower-cased question.
-OVERVIEW = r"what('s|\s+is)\s+in\s+(this|the)\s+(document|file|dataset)|what does (this|the) (document|file) contain|(describe|explain)\s+(this|the)\s+(document|file|dataset)|(document|dataset|file|data)\s+overview|overview of (the|this) (data|document|file)|summary\s+of\s+(this|the)\s+(document|file|dataset)|tell\s+me\s+about\s+(this|the)\s+(document|file|dataset)|tell me what (this|the) file contains|structure of (this|the)|what (data|information) is in|summarize (this|the) document|executive summary|(give me|provide) a summary|(high level|high-level|brief|quick|full|complete|comprehensive) summary"
-DATA = "oil gas water condensate lpg ngl crude production prod sales injection inject inj bbl barrel mcf mmbtu volume vol rate pressure temp temperature density flare fuel energy btu heat well wells field fields battery facility asset completion completions reservoir plot chart visualize graph display draw render visualization trend trends compare comparison analyze analysis statistics stats metric metrics column columns schema rows records table completeness total average avg sum max min count mean median std deviation variance monthly yearly daily weekly quarterly".split() + ["show me", "create chart", "data quality", "missing values", "by month", "by year", "by date", "over time", "time series"]
-SYSTEM = r"(fix (this|the) (bug|error|issue)|fix this|solve (this|the) issue|debug|improve the (engine|system|rag)|make it (more )?detailed|add more detail|enhance the|modify the (engine|rag|system)|change the (architecture|model)|change how you respond|update the (code|prompt)|fix the (prompt|intent)|implement this|add a feature|refactor|rewrite the)"
-FREEFORM = r"\b(how to eat|how to cook|recipe|food|ice cream|cake|pizza|cooking|jokes?|funny|poem|story|sing|song|movie|game|sports|who is|who was|history of|geography|define|meaning of|what does .+ mean|science|physics|biology|chemistry|hello|hi|hey|good morning|good evening|thank you|thanks|bye|goodbye|how are you|what's your name|who are you|advice|help me with|relationship|love|weather|travel|vacation)\b"
-STARTERS = r"^(what|how|show|tell|give|list|calculate)"
+# Words, phrases and patterns of each mode, looked for anywhere in the lower-cased question.
+DATA = [
+    "oil", "gas", "water", "condensate", "lpg", "ngl", "crude", "production", "prod", "sales", "injection", "inject", "inj", "bbl", "barrel", "mcf", "mmbtu", "volume", "vol",
+    "rate", "pressure", "temp", "temperature", "density", "flare", "fuel", "energy", "btu", "heat", "well", "wells", "field", "fields", "battery", "facility", "asset", "completion", "completions", "reservoir",
+    "plot", "chart", "visualize", "graph", "display", "show me", "create chart", "draw", "render", "visualization", "trend", "trends", "compare", "comparison", "analyze", "analysis", "statistics", "stats", "metric", "metrics",
+    "column", "columns", "schema", "rows", "records", "table", "data quality", "missing values", "completeness", "total", "average", "avg", "sum", "max", "min", "count", "mean", "median", "std", "deviation", "variance",
+    "monthly", "yearly", "daily", "weekly", "quarterly", "by month", "by year", "by date", "over time", "time series",
+]
+OVERVIEW_PHRASES = [
+    "what's in this document", "what is in this document", "what's in the document", "what is in the document", "what's in this file", "what is in this file", "what does this document contain", "what does the document contain", "what does this file contain",
+    "describe this document", "describe the document", "describe this file", "describe the file", "describe this dataset", "describe the dataset", "explain this document", "explain the document", "explain this file", "explain this dataset",
+    "document overview", "dataset overview", "file overview", "data overview", "overview of the data", "overview of this data", "overview of the document", "overview of the file",
+    "tell me about this document", "tell me about the document", "tell me about this file", "tell me about this dataset", "tell me what this file contains", "tell me what the file contains", "tell me in detail what's inside",
+    "structure of this", "structure of the", "what data is in", "what information is in", "summarize the document", "summarize this document",
+    "executive summary", "summary of this document", "summary of the document", "summary of this file", "summary of this dataset", "give me a summary", "provide a summary",
+    "high level summary", "high-level summary", "brief summary", "quick summary", "full summary", "complete summary", "comprehensive summary",
+]
+SYSTEM_PHRASES = [
+    "fix this", "fix the bug", "fix this bug", "fix the error", "fix this error", "fix the issue", "fix this issue", "solve this issue", "solve the issue", "debug", "debugging",
+    "improve the engine", "improve the system", "improve the rag", "make it detailed", "make it more detailed", "add more detail", "enhance the",
+    "modify the engine", "modify the rag", "modify the system", "change the architecture", "change the model", "change how you respond", "update the code", "update the prompt", "fix the prompt", "fix the intent",
+    "implement this", "add a feature", "refactor", "rewrite the",
+]
+FREEFORM_WORDS = [
+    "how to eat", "how to cook", "recipe", "food", "ice cream", "cake", "pizza", "cooking", "joke", "jokes", "tell me a joke", "funny", "poem", "story", "sing", "song", "movie", "game", "sports",
+    "who is", "who was", "history of", "geography", "define", "meaning of", "what does .+ mean", "science", "physics", "biology", "chemistry",
+    "hello", "hi", "hey", "good morning", "good evening", "thank you", "thanks", "bye", "goodbye", "how are you", "what's your name", "who are you",
+    "advice", "help me with", "relationship", "love", "weather", "travel", "vacation",
+]
+STARTER_WORDS = ["what", "how", "show", "tell", "give", "list", "calculate"]
+# any white space between the words of the commonest overview questions
+OVERVIEW = "|".join([*OVERVIEW_PHRASES, r"what('s|\s+is)\s+in\s+(this|the)\s+(document|file|dataset)", r"(describe|explain|summary\s+of|tell\s+me\s+about)\s+(this|the)\s+(document|file|dataset)", r"(document|dataset|file)\s+overview"])
+SYSTEM = "|".join(SYSTEM_PHRASES)
+FREEFORM = rf"\b({'|'.join(FREEFORM_WORDS)})\b"
+STARTERS = rf"^({'|'.join(STARTER_WORDS)})"
 RESOURCES = {"oil": ["oil", "crude"], "gas": ["gas", "mcf", "flare"], "water": ["water", "wat"], "condensate": ["cond"], "lpg": ["lpg"], "ngl": ["ngl", "natural gas liquid"], "energy": ["energy", "btu", "heat"]}
 FLOWS = {"injection": ["inj"], "production": ["prod"], "sales": ["sale", "sold"]}
 COLUMN_PARTS = {"oil": ["OIL"], "gas": ["GAS"], "water": ["WAT"], "condensate": ["COND"], "lpg": ["LPG"], "ngl": ["NGL"], "energy": ["ENERGY", "BTU", "HEAT"], "production": ["PROD"], "sales": ["SALES"], "injection": ["INJ"]}

@@ -62,7 +62,7 @@ CHUNKS = [("doc1", 0, "Oil production increased by 10% in Q1"), ("doc1", 1, "Gas
 def test_search(spark):
     df = spark.createDataFrame([(f"{d}:{i}", d, i, t) for d, i, t in CHUNKS], "key string, doc string, chunk int, text string")
     got = {r["key"]: round(r["score"], 6) for r in retrieve.bm25(df, "text", ["oil", "production"]).collect()}
-    assert set(got) == {"doc1:0", "doc2:0"} and got["doc1:0"] > got["doc2:0"]
+    assert got == {"doc1:0": 1.938663, "doc2:0": 0.651279}
     assert [r["key"] for r in retrieve.bm25(df, "text", ["oil"], within=F.col("doc") == "doc2").collect()] == ["doc2:0"]
     context = {r["key"]: r["context"] for r in retrieve.with_context(df, "doc", "chunk", "text").collect()}
     assert context["doc2:0"] == CHUNKS[3][2] and context["doc1:0"].count("---") == 1 and context["doc1:1"].count("---") == 2
