@@ -3,7 +3,7 @@
 A page is cut into blocks at block tags. The first pass judges each block by itself: text in boilerplate containers
 (by tag, role, class or id) and link-dense text is bad; long text with enough stop words is good; short text is left
 open. The second pass gives open blocks the label of their nearest decided neighbours: that of both if they agree,
-else that of the nearer one. Where a page has an article or main element, what stands outside is not main text, and
+else that of the nearer one; on a page without any decided block they are good. Where a page has an article or main element, what stands outside is not main text, and
 the element itself is the nearest good neighbour of its open blocks: boilerplate enclosed in it, such as an advert,
 does not speak for the text around.
 
@@ -26,7 +26,7 @@ from quarrykit.llm.common import table
 
 #: A block of SHORT characters or fewer is open unless its links or its place decide; LONG ones need fewer stop words.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.4
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|iframe|textarea|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|svg|math|object|select|button)\b[^>]*>.*?</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|iframe|textarea|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(template|svg|math|object|select|button)\b[^>]*>.*?</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-z!/?][^<>]*\Z|[^<]+|<", re.S | re.I)
 #: Tags that cut blocks, tags and names of boilerplate, stop words of the languages met.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog fieldset".split())
@@ -148,7 +148,7 @@ def second_pass(labels: list[bool | None], found: list[tuple[str, float, bool, i
     out = []
     for i, label in enumerate(labels):
         near = sorted(((abs(x[0] - i), not x[1]) for x in (before[i], after[i]) if x), key=lambda x: x)
-        inherited = bool(found[i][3]) or (bool(near) and not near[0][1])
+        inherited = bool(found[i][3]) or not near or not near[0][1]  # with nothing decided, nothing speaks against it
         out.append(inherited if label is None else label)
     return out
 
