@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     cell = Window.partitionBy("sid", "size", "bucket")
     sizes = placed.groupBy("sid", "size", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.select("sid", "size", "bucket", (F.sum("rows").over(Window.partitionBy("sid", "size").orderBy("bucket")) - F.col("rows")).alias("before"))
-    ranked = placed.withColumn("rank", F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")))
+    ranked = placed.withColumn("rank", F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "text_hash")))
     repeats = F.col("whole") + F.when(F.col("before") + F.col("rank") <= F.col("take"), 1).otherwise(0)
     return ranked.join(before, ["sid", "size", "bucket"]).withColumn("repeats", repeats).select(*out).unionByName(empty)
 

@@ -31,8 +31,7 @@ MOST_RULES = 1000
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a url."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "#", 1)).otherwise("")
-    after = F.regexp_extract(F.coalesce(rest, F.lit("")), r"^.*?://([^?]*)", 1)
+    after = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^?#]*)", 1)
     host = F.translate(F.substring_index(after, "/", 1), UPPER, LOWER)
     return host, F.substring(after, F.char_length(host) + 1, F.char_length(after))
 

@@ -215,7 +215,7 @@ def test_neighbours(spark):
 
 
 def test_url_filter(spark):
-    urls = ["https://WWW.Example.com/en/x?y#z", "http://example.com/en/1", "http://a.example.com/fr/", "http://x.net/es/", "http://x.net/de/", "http://x.com", "http://bad.org/a", None, "nothing", "http://u@h:1?q", "http://h#f?g"]
+    urls = ["https://WWW.Example.com/en/x?y#z", "http://example.com/en/1", "http://a.example.com/fr/", "http://x.net/es/", "http://x.net/de/", "http://x.com", "http://bad.org/a", None, "nothing", "http://u@h:1?q", "http://h#f?g", "a#b?c\n://H/p?q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").union(spark.createDataFrame([(100 + i, f"http://bad.org/{i}") for i in range(30)] + [(200 + i, f"http://good{i % 5}.org/{i}") for i in range(60)], "page_id long, url string"))
     outcomes = pages.filter("page_id >= 100").select("page_id", (F.col("page_id") < 200).cast("int").alias("bad"))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, outcomes).collect()}
@@ -223,7 +223,7 @@ def test_url_filter(spark):
     assert got[1] == ("example.com", "/en/1", "example.com/en/", "block")
     assert got[2][2:] == ("com/", "allow") and got[3][2:] == ("net/es/", "block") and got[4][2:] == (None, "allow")
     assert got[5][:3] == ("x.com", "", None) and got[6][2:] == (None, "block") and got[200][3] == "allow"
-    assert got[7][:3] == got[8][:3] == ("", "", None) and got[9][:2] == ("u@h:1", "") and got[10][:2] == ("h", "")
+    assert got[7][:3] == got[8][:3] == ("", "", None) and got[9][:2] == ("u@h:1", "") and got[10][:2] == ("h", "") and got[11][:2] == ("h", "/p")
     assert len(got) == len(urls) + 90 and url_filter.judge(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
