@@ -70,3 +70,11 @@ def key_values(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, name, value) of lines like ``name: value``."""
     line = docs.select(key, F.explode(F.split(text, "\n")).alias("line")).filter(F.instr("line", ":") > 1)
     return line.select(key, F.trim(F.substring_index("line", ":", 1)).alias("name"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+
+
+def markdown_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, cells): the rows of Markdown tables in a text, header included, rules left out; empty cells stay."""
+    line = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "_l")).withColumn("_l", F.trim("_l"))
+    rows = line.filter(F.col("_l").rlike(r"^\|.*\|$") & ~F.col("_l").rlike(r"^\|[\s:|-]*\|$"))
+    inner = F.substring(F.col("_l"), F.lit(2), F.length("_l") - 2)
+    return rows.select(key, "line", F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -111,3 +113,14 @@ def metrics(df: DataFrame, columns: list[str], categories: list[str], most: int
 def confidence(rows: int, n_metrics: int, n_comparisons: int, null_share: float) -> str:
     score = (2 if rows >= 1000 else 1 if rows >= 100 else 0) + (2 if n_metrics >= 10 else 1 if n_metrics >= 5 else 0) + (n_comparisons >= 3) + (null_share < 0.1)
     return "high" if score >= 5 else "medium" if score >= 3 else "low"
+
+
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """(count, mean, median, std, range) of a numeric column."""
+    return numeric_profile(df, [column]).select(F.col("non_null").alias("count"), "mean", "median", "std", (F.col("max") - F.col("min")).alias("range"))
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, columns) of each table."""
+    each = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)

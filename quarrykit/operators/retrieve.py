@@ -85,3 +85,9 @@ def catalog(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame:
 def add_new(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks whose hash the index lacks, one per hash."""
     return chunks.join(index.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
+
+
+def citations(hits: DataFrame, key: str, text: str, n: int = 5, preview: int = 300) -> DataFrame:
+    """(key, score, preview) of the n best hits; the score is held within 0 and 1."""
+    best = hits.orderBy(F.desc("score"), key).limit(n)
+    return best.select(key, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), F.substring(text, 1, preview).alias("preview"))

@@ -371,3 +371,55 @@ def value_alerts(table):
 @query()
 def semantic_types(table):
     return profile.semantic_types(table("orders"))
+
+
+@query('SELECT count(l_extendedprice) AS count, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS std, round(max(l_extendedprice) - min(l_extendedprice), 4) AS "range" FROM lineitem')
+def distribution_stats(table):
+    return rounded(profile.distribution(table("lineitem"), "l_extendedprice"))
+
+
+_SIZED = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows, {n}::INTEGER AS columns FROM {name}" for name, n in _SIZED.items()))
+def table_sizes(table):
+    return profile.table_sizes({name: table(name) for name in _SIZED})
+
+
+@query("SELECT DISTINCT substr(sha256(text), 1, 16) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+def new_chunks(table):
+    chunks = table("documents").filter("text is not null").select("lang", hygiene.chunk_hash(F.col("text")).alias("hash"))
+    return retrieve.add_new(chunks.filter("lang = 'en'"), chunks).select("hash")
+
+
+@query("SELECT doc_id, trim(substr(line, 1, instr(line, ':') - 1)) AS name, trim(substr(line, instr(line, ':') + 1)) AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE instr(line, ':') > 1")
+def key_value_lines(table):
+    return chunk.key_values(table("documents"), "doc_id", "text")
+
+
+@query(
+    r"SELECT doc_id, line::INTEGER AS line, array_to_string(list_transform(string_split(substr(l, 2, length(l) - 2), '|'), lambda x: trim(x)), chr(9)) AS cells FROM"
+    r" (SELECT doc_id, i - 1 AS line, trim(p[i]) AS l FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"
+    r" WHERE regexp_matches(l, '^\|.*\|$') AND NOT regexp_matches(l, '^\|[\s:|-]*\|$')"
+)
+def markdown_rows(table):
+    return chunk.markdown_rows(table("documents"), "doc_id", "text").withColumn("cells", F.array_join("cells", "\t"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(least(greatest(score, 0), 1), 6) AS score, substr(text, 1, 300) AS preview FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY bm.score DESC, doc_id LIMIT 5")
+def citations(table):
+    return rounded(retrieve.citations(retrieve.bm25(table("documents").select("doc_id", "text"), "text", _BM25_TERMS), "doc_id", "text"), 6)
+
+
+@query(f"SELECT mode, count(*) AS total, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS share FROM ({ORACLE_SQL['route_questions']}) GROUP BY mode")
+def question_stats(table):
+    asked = table("conversations").filter("role = 'user'").select(router.mode_column(F.col("text")).alias("mode"), F.lit(1).alias("one"))
+    return rounded(aggregate.shares(asked, "mode", "one"))
+
+
+@query(
+    """WITH e AS (SELECT unnest(generate_series(time_bucket(INTERVAL '10 seconds', ts) - INTERVAL '50 seconds', time_bucket(INTERVAL '10 seconds', ts), INTERVAL '10 seconds')) AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS count, round(count(*) / 60, 6) AS per_second FROM e GROUP BY s"""
+)
+def rolling_rate(table):
+    return rounded(windows.rate(table("events"), "ts", step="10 seconds"), 6).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
