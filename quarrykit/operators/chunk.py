@@ -77,4 +77,4 @@ def markdown_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     line = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "_l")).withColumn("_l", F.trim("_l"))
     rows = line.filter(F.col("_l").rlike(r"^\|.*\|$") & ~F.col("_l").rlike(r"^\|[\s:|-]*\|$"))
     inner = F.substring(F.col("_l"), F.lit(2), F.length("_l") - 2)
-    return rows.select(key, "line", F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return rows.select(key, "line", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))

@@ -392,18 +392,21 @@ def new_chunks(table):
     return retrieve.add_new(chunks.filter("lang = 'en'"), chunks).select("hash")
 
 
-@query("SELECT doc_id, trim(substr(line, 1, instr(line, ':') - 1)) AS name, trim(substr(line, instr(line, ':') + 1)) AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE instr(line, ':') > 1")
+@query("SELECT page_id, trim(substr(line, 1, instr(line, ':') - 1)) AS name, trim(substr(line, instr(line, ':') + 1)) AS value FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) WHERE instr(line, ':') > 1")
 def key_value_lines(table):
-    return chunk.key_values(table("documents"), "doc_id", "text")
+    return chunk.key_values(table("pages"), "page_id", "html")
 
 
 @query(
-    r"SELECT doc_id, line::INTEGER AS line, array_to_string(list_transform(string_split(substr(l, 2, length(l) - 2), '|'), lambda x: trim(x)), chr(9)) AS cells FROM"
-    r" (SELECT doc_id, i - 1 AS line, trim(p[i]) AS l FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))"
+    r"SELECT bucket, line::INTEGER AS line, array_to_string(list_transform(string_split(substr(l, 2, length(l) - 2), '|'), lambda x: trim(x)), chr(9)) AS cells FROM"
+    r" (SELECT bucket, i - 1 AS line, trim(p[i]) AS l FROM (SELECT bucket, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT bucket, string_split(body, chr(10)) AS p FROM ("
+    + ORACLE_SQL["chunk_rows"]
+    + r"))))"
     r" WHERE regexp_matches(l, '^\|.*\|$') AND NOT regexp_matches(l, '^\|[\s:|-]*\|$')"
 )
 def markdown_rows(table):
-    return chunk.markdown_rows(table("documents"), "doc_id", "text").withColumn("cells", F.array_join("cells", "\t"))
+    tables = chunk.table_chunks(table("documents"), F.floor(F.col("doc_id") / 50), "doc_id", ["doc_id", "lang", "source"])
+    return chunk.markdown_rows(tables, "bucket", "body").withColumn("cells", F.array_join("cells", "\t"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(least(greatest(score, 0), 1), 6) AS score, substr(text, 1, 300) AS preview FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY bm.score DESC, doc_id LIMIT 5")
