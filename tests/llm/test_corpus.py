@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrykit.llm import archive, decontaminate, language, main_text, mixing, near_dup, neighbours, queries, sharding, toxicity, url_filter
+from quarrykit.llm import archive, decontaminate, language, main_text, mixing, near_copies, near_dup, neighbours, queries, sharding, toxicity, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, text_hash string, h int"
@@ -116,6 +116,46 @@ def test_near_duplicates(spark, docs, rows, odd, none):
     assert near_dup.fingerprint("a b " * 800_000) == near_dup.fingerprint("a b " * 799_999 + "a b ")
 
 
+def five_word_components(ids, texts):
+    """By comparing all pairs."""
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in tokens]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = defaultdict(list)
+    for i, x in zip(ids, label, strict=True):
+        least[x].append(i)
+    return [min((i for i in least[x] if i is not None), default=None) for x in label]
+
+
+def test_near_copies_are_all_of_five_word_similarity(spark, docs, rows, odd, none):
+    rng = np.random.default_rng(3)
+    base, made = [f"w{i}" for i in rng.integers(0, 500, 120)], []
+    for i in range(120):  # copies with 0 to 4 words changed, next to the limit and on either side of it
+        text = list(base)
+        for at in rng.choice(120, i % 5, replace=False):
+            text[at] = f"x{rng.integers(0, 9)}"
+        made.append((10_000 + i, " ".join(text)))
+    # 18 shared of 22 shingles is above 0.8, 16 of 20 is it, 15 of 19 is below
+    for k, (shared, own) in enumerate(((18, 2), (16, 2), (15, 2))):
+        head = [f"k{k}h{i}" for i in range(shared + 4)]
+        made += [(20_000 + 2 * k + s, " ".join(head + [f"k{k}s{s}o{i}" for i in range(own)])) for s in (0, 1)]
+    made += [(30_000, "a b"), (30_001, "A  b"), (30_002, ""), (30_003, None), (30_004, " \t")]
+    all_rows = made + list(zip(rows["doc_id"].tolist(), rows["text"], strict=True))
+    got = {r["doc_id"]: r["first"]["doc_id"] for r in near_copies.near_copies(spark.createDataFrame(all_rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip([i for i, _ in all_rows], five_word_components(*zip(*all_rows, strict=True)), strict=True))
+    assert [got[20_000 + i] for i in range(6)] == [20_000, 20_000, 20_002, 20_002, 20_004, 20_005]
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()}
+    assert kept == set(five_word_components(rows["doc_id"].tolist(), rows["text"]))
+    r = near_copies.near_copies(odd).collect()
+    assert sorted((x["doc_id"] or -1, x["first"]["doc_id"]) for x in r) == [(-1, 4), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 5)]
+    assert near_copies.near_copies(none).count() == 0
+
+
 def test_links_find_all_within_two_bits(spark):
     rng = np.random.default_rng(1)
     center = rng.integers(0, 1 << 62, 6)
