@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning takes a bounded sample of labelled texts, as many of either class at most. Terms are the words that stand
-in toxic texts several times as often as in others, beyond chance (chi-square, at most TERMS of them), so that the
-cosine compares what bears on toxicity. The examples' vectors go to an inverted index whose postings are cut into blocks of examples, each
-with its largest weight: a query sums these into a bound per block and opens blocks from the highest bound on, until
+Learning takes a bounded sample of labelled texts, as many of either class at most. Terms are all words of it that
+stand in MIN_DF texts or more. A term weighs its IDF times how far it goes with either label (FLOOR plus the phi
+coefficient), so that the cosine compares what bears on toxicity and yet every word counts. The examples' vectors go
+to an inverted index; postings of the COMMON terms are cut into blocks of examples, each with its largest weight. A
+query sums its other terms, adds these weights for a bound per block and opens blocks from the highest bound on, until
 no other can reach the K-th best. That is exact. The neighbours' labels, weighted by squared cosine and by how their
 class was sampled, give a vote; isotonic regression over leave-one-out votes of the sample makes it a probability.
 
@@ -28,9 +29,9 @@ from quarrykit.llm.common import cut, pieces, table
 
 #: At most about this many labelled texts are learned from, half of them toxic.
 SAMPLE = 20_000
-#: A term stands in MIN_DF texts of the sample, MIN_RATIO times as often in toxic as in other ones, beyond chance.
-TERMS, MIN_DF, MIN_RATIO, MIN_CHI2 = 2048, 5, 8.0, 25.0
-K, BLOCK, FIRST_BLOCKS = 15, 64, 8
+#: A term stands in MIN_DF texts of the sample; one that tells nothing of the label has FLOOR of its IDF.
+MIN_DF, FLOOR = 2, 0.01
+K, BLOCK, FIRST_BLOCKS, COMMON = 15, 64, 8, 256
 TOXIC = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,60 +52,69 @@ class Examples:
     """The index: ids and labels of examples, postings by term, block bounds, calibration."""
 
     def __init__(self, terms: list[str], rows: pd.DataFrame, weights: tuple[float, float]) -> None:
-        """rows: (doc_id, toxic, term, tf), term and tf null for an example that has no term."""
+        """rows: (doc_id, toxic, terms, tfs), the numbers of an example's terms and how often they stand in it, as int32 bytes."""
         self.terms = {t: i for i, t in enumerate(terms)}
         who = rows.drop_duplicates("doc_id").sort_values("doc_id")
         self.ids, self.labels = who["doc_id"].to_numpy(np.int64), who["toxic"].to_numpy(np.int64)
         self.weight = np.where(self.labels == 1, weights[1], weights[0])
-        post = rows.dropna(subset=["term"]).drop_duplicates(["doc_id", "term"]) if len(terms) else rows.iloc[:0]
-        t = post["term"].map(self.terms).to_numpy(np.int64)
-        x = np.searchsorted(self.ids, post["doc_id"].to_numpy(np.int64))
-        self.idf = np.log((1 + len(self.ids)) / (1 + np.bincount(t, minlength=len(terms)))) + 1e-9
-        w = (1 + np.log(post["tf"].to_numpy(float))) * self.idf[t] if len(post) else np.empty(0)
+        t, tf = (np.frombuffer(b"".join(who[c]), np.int32).astype(np.int64) for c in ("terms", "tfs"))
+        x = np.repeat(np.arange(len(who)), [len(b) // 4 for b in who["terms"]])
+        df, toxic = (np.bincount(part, minlength=len(terms)).astype(float) for part in (t, t[self.labels[x] == 1]))
+        n, pos = float(len(self.ids)), float(self.labels.sum())
+        spread = df * (n - df) * pos * (n - pos)
+        phi = np.abs(toxic * n - df * pos) / np.sqrt(np.where(spread > 0, spread, np.inf))
+        self.idf = (np.log((1 + n) / (1 + df)) + 1e-9) * (FLOOR + phi)
+        w = (1 + np.log(tf)) * self.idf[t]
         norm = np.sqrt(np.bincount(x, w * w, minlength=len(self.ids)))
         order = np.lexsort((x, t))
-        self.example, self.w = x[order], (w / norm[x])[order] if len(x) else w
+        self.example, self.w = x[order].astype(np.int32), (w / norm[x])[order] if len(x) else w
         self.blocks = -(-len(self.ids) // BLOCK)
-        # segments: the postings of a term in a block, with the largest weight among them
-        new = np.ones(len(x), bool)
-        new[1:] = (t[order][1:] != t[order][:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)
-        self.seg_start = np.flatnonzero(new)
-        self.seg_size = np.diff(np.append(self.seg_start, len(x)))
-        self.seg_block = self.example[self.seg_start] // BLOCK
-        self.seg_most = np.maximum.reduceat(self.w, self.seg_start) if len(x) else np.empty(0)
-        self.term_seg = np.searchsorted(t[order][self.seg_start], np.arange(len(terms) + 1))
+        # a term's postings are one segment; those of the most common terms also stand as dense blocks with their largest weights
+        self.seg_size, self.term_seg = df.astype(np.int64), np.arange(len(terms) + 1)
+        self.seg_start = np.cumsum(self.seg_size) - self.seg_size
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.row = np.full(len(terms), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), self.blocks * BLOCK))
+        for i, c in enumerate(common):
+            p = slice(self.seg_start[c], self.seg_start[c] + self.seg_size[c])
+            dense[i, self.example[p]] = self.w[p]
+        self.dense = dense.reshape(len(common), self.blocks, BLOCK)
+        self.most = self.dense.max(axis=2) if dense.size else np.zeros((len(common), self.blocks))
         bare = norm == 0
         self.bare = float((self.weight * self.labels)[bare].sum() / max(self.weight[bare].sum(), 1e-9)) if len(self.ids) else 0.0
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        own = pd.DataFrame({"x": x, "t": t, "tf": post["tf"].to_numpy(float)}).groupby("x")
-        votes = np.array([[self.vote(*self.search(tuple(sorted(zip(g["t"], g["tf"], strict=True))), skip=int(i))), i] for i, g in own]).reshape(-1, 2)
-        self.calibrate(votes[:, 0], votes[:, 1].astype(int))
 
     def search(self, query: tuple[tuple[int, float], ...], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, ties to the smaller id. query: (term, tf)."""
         q = np.array([(1 + np.log(tf)) * self.idf[t] for t, tf in query])
         q /= np.sqrt((q * q).sum())
         t = np.array([t for t, _ in query])
-        many = self.term_seg[t + 1] - self.term_seg[t]
-        seg, x = spans(self.term_seg[t], many), np.repeat(q, many)
-        bound = np.bincount(self.seg_block[seg], x * self.seg_most[seg], minlength=self.blocks)
-
-        def opened(blocks: np.ndarray) -> np.ndarray:
-            """Scores of the examples in these blocks, 0 elsewhere."""
-            use = blocks[self.seg_block[seg]]
-            of, sizes = seg[use], self.seg_size[seg[use]]
-            p = spans(self.seg_start[of], sizes)
-            score = np.bincount(self.example[p], np.repeat(x[use], sizes) * self.w[p], minlength=len(self.ids)).round(12)
-            if skip >= 0:
-                score[skip] = 0
-            return score
-
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        score = opened(first)
-        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        score += opened(~first & (bound > 0) & (bound >= kth - 1e-9))
-        ids = np.flatnonzero(score >= max(kth, 1e-12))
+        row = self.row[t]
+        t, rare, q, row = t[row < 0], q[row < 0], q[row >= 0], row[row >= 0]
+        p, sizes = spans(self.seg_start[t], self.seg_size[t]), self.seg_size[t]
+        score = np.bincount(self.example[p], np.repeat(rare, sizes) * self.w[p], minlength=self.blocks * BLOCK).astype(float)
+        if skip >= 0:
+            score[skip] = -9
+        score = score.reshape(self.blocks, BLOCK)
+        bound = score.max(axis=1) + q @ self.most[row]
+
+        def open_(blocks: np.ndarray) -> float:
+            """Add the common terms to the scores in these blocks; a bound from below on the k-th best of all."""
+            if len(row) and len(blocks):
+                score[blocks] += np.tensordot(q, self.dense[np.ix_(row, blocks)], 1)
+            return float(np.partition(score.ravel(), -k)[-k]) if len(self.ids) >= k else 0.0
+
+        order = np.argsort(-bound, kind="stable")
+        kth = open_(order[:FIRST_BLOCKS])
+        rest = order[FIRST_BLOCKS:]
+        left = rest[bound[rest] >= kth - 1e-9]
+        kth = open_(left)
+        whole = np.zeros(self.blocks, bool)
+        whole[order[:FIRST_BLOCKS]] = whole[left] = True
+        score[~whole] = 0
+        score = score.ravel()[: len(self.ids)].round(12)
+        ids = np.flatnonzero(score >= max(round(kth, 12), 1e-12))
         top = ids[np.lexsort((ids, -score[ids]))[:k]]
         return top, score[top]
 
@@ -125,8 +135,11 @@ class Examples:
             v, y, w = np.array(pools).T
             self.steps = (v / w, y / w)
 
+    def query(self, text: str | None) -> tuple[tuple[int, int], ...]:
+        return tuple(sorted((self.terms[t], n) for t, n in counts(text, self.terms).items()))
+
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        query = tuple(sorted((self.terms[t], n) for t, n in counts(text, self.terms).items()))
+        query = self.query(text)
         return self.judged(query) if query and len(self.ids) else (self.bare, [], [])
 
     def judged(self, query: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[float]]:
@@ -139,7 +152,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
-    """docs: (doc_id, text); labels: (doc_id, toxic). What comes to the driver is bounded by ``sample`` and TERMS."""
+    """docs: (doc_id, text); labels: (doc_id, toxic). What comes to the driver is bounded by ``sample``."""
     labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(y): n for y, n in labels.groupBy("toxic").count().collect()}
     share = {y: min(1.0, sample / 2 / n) for y, n in sizes.items()}
@@ -148,31 +161,39 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
     picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")))  # about ``sample`` rows
     texts = cut(docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
 
-    def documents_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = (Counter(), Counter())
-            for text, y in zip(b["text"], b["toxic"], strict=True):
-                found[y].update(set(counts(text)))
-            yield from (pd.DataFrame({"term": list(c), "toxic": y, "n": list(c.values())}) for y, c in enumerate(found) if c)
+            found: Counter = Counter()
+            for text in b["text"]:
+                found.update(set(counts(text)))
+            yield pd.DataFrame({"term": list(found), "n": list(found.values())})
 
-    n = {y: c for y, c in texts.groupBy("toxic").count().collect()}
-    neg, pos = float(n.get(0, 0)), float(n.get(1, 0))
     terms: list[str] = []
-    if neg and pos:
-        df = texts.mapInPandas(documents_with, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum("n").cast("double").alias("df"))
-        b = F.col("df") - F.col("a")
-        top = (F.col("a") * neg - b * pos) ** 2 * (neg + pos)
-        chi2 = top / (F.col("df") * (neg + pos - F.col("df")) * pos * neg)
-        chosen = df.filter((F.col("df") >= MIN_DF) & (F.col("df") < neg + pos) & (F.col("a") * neg >= MIN_RATIO * b * pos)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-        terms = sorted(r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect())
-    known = {t: i for i, t in enumerate(terms)}
+    if {y for (y,) in texts.select("toxic").distinct().collect()} == {0, 1}:
+        df = texts.mapInPandas(words_of, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= MIN_DF)
+        terms = sorted(t for part in df.groupBy(F.pmod(F.xxhash64("term"), F.lit(64))).agg(F.array_join(F.collect_list("term"), " ").alias("all")).select("all").collect() for t in part["all"].split(" "))
+    known = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, y, t, c) for i, text, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True) for t, c in (list(counts(text, known).items()) or [(None, None)])]
-            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "term", "tf"]).astype({"tf": "float64"})
+            found = [counts(text, known.value) for text in b["text"]]
+            blob = lambda numbers: np.fromiter(numbers, np.int32).tobytes()
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [blob(known.value[t] for t in c) for c in found], "tfs": [blob(c.values()) for c in found]})
+
+    rows = texts.mapInPandas(vectors, "doc_id long, toxic int, terms binary, tfs binary").toPandas()
+    model = Examples(terms, rows, (1 / share.get(0, 1.0), 1 / share.get(1, 1.0)))
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for b in batches:
+            asked = [(i, int(np.searchsorted(model.ids, i)), model.query(text)) for i, text in zip(b["doc_id"], b["text"], strict=True)]
+            yield pd.DataFrame([(i, model.vote(*model.search(query, skip=x))) for i, x, query in asked if query], columns=["doc_id", "vote"])
 
-    return Examples(terms, texts.mapInPandas(vectors, "doc_id long, toxic int, term string, tf double").toPandas(), (1 / share.get(0, 1.0), 1 / share.get(1, 1.0)))
+    if terms:
+        own = texts.mapInPandas(votes, "doc_id long, vote double").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+        model.calibrate(own["vote"].to_numpy(), np.searchsorted(model.ids, own["doc_id"].to_numpy(np.int64)))
+    return model
 
 
 def score(docs: DataFrame, model: Examples) -> DataFrame:
@@ -182,7 +203,7 @@ def score(docs: DataFrame, model: Examples) -> DataFrame:
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        model.judged = lru_cache(1 << 14)(Examples.judged.__get__(model))  # short term lists recur
+        model.judged = lru_cache(256)(Examples.judged.__get__(model))  # for copies
         for batch in texts:
             yield pd.DataFrame([model.score(t) for t in batch], columns=["score", "neighbours", "cosines"])
 

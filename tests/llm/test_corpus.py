@@ -292,6 +292,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.learn(docs.limit(0), labels.limit(0)).score("anything")[0] == 0
 
 
+def test_toxicity_compares_by_every_word(spark):
+    """Also texts without any word that is typical of toxic ones have neighbours, and rarer wording is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    learned = docs.join(labels.filter(~toxicity.held_out(F.col("doc_id"))), "doc_id").toPandas()
+    model = toxicity.learn(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    met = Counter(w for t in learned["text"] for w in set(toxicity.counts(t)))
+    assert set(model.terms) == {w for w, n in met.items() if n >= 2}
+    known = docs.join(labels, "doc_id").toPandas()
+    assert all(model.score(t)[1] for t in known["text"])
+    made = [(i, "calm words of a plain kind " + str(i), 0) for i in range(40)] + [(100 + i, "zounds calm words of vile kind", 1) for i in range(3)]
+    few = toxicity.learn(spark.createDataFrame([r[:2] for r in made], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in made], "doc_id long, toxic int"))
+    assert few.score("zounds")[0] >= toxicity.TOXIC > few.score("plain words")[0]
+
+
 def test_mixing(spark, rows, odd, none):
     got = mixing.op10_mix(spark, FOLDER).toPandas().merge(rows[["doc_id", "source", "text"]], on="doc_id")
     assert (got["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in got["text"]]).all()
