@@ -3,9 +3,10 @@
 A page is cut into blocks at block tags. The first pass judges each block by itself: text in boilerplate containers
 (by tag, role, class or id) and link-dense text is bad; long text with enough stop words is good; short text is left
 open. The second pass gives open blocks the label of their nearest decided neighbours: that of both if they agree,
-else that of the nearer one; on a page without any decided block they are good. Where a page has an article or main element, what stands outside is not main text, and
-the element itself is the nearest good neighbour of its open blocks: boilerplate enclosed in it, such as an advert,
-does not speak for the text around.
+else that of the nearer one; on a page without any decided block they are good. Where a page has an article or main
+element, what stands outside is not main text. Inside, blocks without stop words
+are open and others judged as anywhere; the element's edges are good
+neighbours of its open blocks, and containers of boilerplate in it, such as an advert, are none.
 
 Null and empty pages give an empty text. Character references are decoded, white space in a block becomes one space,
 blocks are joined by a newline; nothing else is dropped or cut. Repeated rows are judged each.
@@ -118,9 +119,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
 def first_pass(block: tuple[str, float, bool, int], has_article: bool) -> bool | None:
     """Good, bad or open (None)."""
     text, links, boilerplate, article = block
-    if boilerplate or (has_article and not article):
-        return False
-    if links > LINKS and (not article or links > 0.9 and len(text) < LONG):
+    if boilerplate or (has_article and not article) or links > LINKS:
         return False
     if len(text) <= SHORT:
         return None
@@ -128,28 +127,30 @@ def first_pass(block: tuple[str, float, bool, int], has_article: bool) -> bool |
     density = sum(t in STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
     if density >= (STOP_LOW if len(text) > LONG else STOP_HIGH):
         return True
-    return None if article or density > 0 else False
+    return None if article or density > 0 else False  # articles hold tables and lists without stop words
 
 
 def second_pass(labels: list[bool | None], found: list[tuple[str, float, bool, int]]) -> list[bool]:
-    """Open blocks take the label of the nearest decided neighbours of their own article (or page)."""
-    before: list[tuple[int, bool] | None] = []
-    last: dict[int, tuple[int, bool]] = {}
-    for i, (label, b) in enumerate(zip(labels, found, strict=True)):
-        before.append(last.get(b[3]))
-        if label is not None:
-            last[b[3]] = (i, label)
-    after: list[tuple[int, bool] | None] = [None] * len(labels)
-    last = {}
-    for i in range(len(labels) - 1, -1, -1):
-        after[i] = last.get(found[i][3])
-        if labels[i] is not None:
-            last[found[i][3]] = (i, labels[i])
-    out = []
-    for i, label in enumerate(labels):
-        near = sorted(((abs(x[0] - i), not x[1]) for x in (before[i], after[i]) if x), key=lambda x: x)
-        inherited = bool(found[i][3]) or not near or not near[0][1]  # with nothing decided, nothing speaks against it
-        out.append(inherited if label is None else label)
+    """Open blocks take the label of the nearest decided neighbour of their own article (or page), good ones first.
+
+    The edges of an article are good neighbours. Containers of boilerplate in it are no neighbours.
+    """
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not (b[2] and b[3]):
+            groups.setdefault(b[3], []).append(i)
+    out = [bool(label) for label in labels]
+    for article, group in groups.items():
+        decided = [(at, labels[i]) for at, i in enumerate(group) if labels[i] is not None]
+        if article:
+            decided = [(-1, True), *decided, (len(group), True)]
+        after = 0
+        for at, i in enumerate(group):
+            while after < len(decided) and decided[after][0] < at:
+                after += 1
+            if labels[i] is None:
+                near = [(abs(place - at), not good) for place, good in decided[max(0, after - 1) : after + 1]]
+                out[i] = not near or not min(near)[1]  # with nothing decided, nothing speaks against it
     return out
 
 

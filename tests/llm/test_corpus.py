@@ -85,6 +85,22 @@ def test_main_text(spark):
         assert got[r["page_id"]] == "\n".join(b for b in want if b)
 
 
+PROSE = "It was the best of times and it was the worst of times, and there is more of that to be read in the book that he had on the table. " * 2
+
+
+def test_main_text_judges_blocks_inside_an_article():
+    """Unnamed boilerplate in main is bad by its links, and what stands next to it is bad with it."""
+    link = "<p><a href=x>{}</a></p>"
+    related = "".join(link.format(f"Another story of ours, number {i}") for i in range(3)) + "<p>Shared 12 times</p>" + link.format("More of this kind")
+    page = f"<main><h1>Head</h1><p>{PROSE}</p><p>So it goes.</p><p>{PROSE}</p><div>{related}</div><p>{PROSE}</p></main>"
+    prose = PROSE.strip()
+    assert main_text.main_text(page) == f"Head\n{prose}\nSo it goes.\n{prose}\n{prose}"
+    # a long block of links is bad as well, and the same blocks without main are judged alike
+    links = "<p>" + " ".join(f"<a href=x>Story number {i} of the day</a>" for i in range(20)) + "</p>"
+    assert main_text.main_text(f"<article><p>{PROSE}</p>{links}<p>{PROSE}</p></article>") == f"{prose}\n{prose}"
+    assert main_text.main_text(page.replace("main>", "div>")) == main_text.main_text(page)
+
+
 def brute_fingerprint(text):
     tokens = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2))] if tokens else []
