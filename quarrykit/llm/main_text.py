@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block tags. The first pass judges each block by itself: text in boilerplate containers
 (by tag, role, class or id) and link-dense text is bad; long text with enough stop words is good; short text is left
-open. The second pass gives open blocks the label of their nearest decided neighbours: that of both if they agree,
+open. A container's class or id must be a name as a whole, and where the name is all there is against it, articles and
+long text with many stop words inside it stay. The second pass gives open blocks the label of their nearest decided neighbours: that of both if they agree,
 else that of the nearer one; on a page without any decided block they are good. Where a page has an article or main
 element, what stands outside is not main text. Inside, blocks without stop words
 are open and others judged as anywhere; the element's edges are good
@@ -33,9 +34,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 BOILERPLATE = frozenset("nav aside footer form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|adsense|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|discussion|disqus|footer|gdpr|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo|promotion|recommended|related|repl(?:y|ies)|responses|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|topbar|widget)(?=$|[\s_-])",
+    r"ads?|advert\w*|adsense|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|discussion|disqus|footer|gdpr|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo|promotion|recommended|related|repl(?:y|ies)|responses|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|topbar|widget",
     re.I,
 )
+#: Words that may stand beside a name in a class without changing what it says, as in site-footer; with-sidebar is no sidebar.
+PLACES = re.compile(r"area|articles?|bars?|block|bottom|box|buttons?|container|form|global|header|icons|inner|items?|left|links|list|main|media|outer|page|panel|posts?|primary|right|secondary|section|site|top|wrap|wrapper|\d+", re.I)
+#: Names of what readers or lawyers write: such text may be long and dense and yet is not main text.
+PROSE = re.compile(r"(?:^|[\s_-])(?:comments?|consent|cookies?|copyright|disclaimer|discussion|disqus|gdpr|legal|repl(?:y|ies)|responses)(?=$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -50,30 +55,41 @@ STOP_WORDS = frozenset(
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def is_name(token: str) -> bool:
+    """A class or id that is a name of boilerplate, or one with words of place."""
+    parts = [p for p in re.split(r"[_-]+", token) if p]
+    named = [bool(NAMES.fullmatch(p)) for p in parts]
+    return any(named) and all(n or PLACES.fullmatch(p) for n, p in zip(named, parts, strict=True))
+
+
+def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """0: none; 1: by a name alone, which an article or long text with stop words inside overrides; 2: for sure."""
     if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I) or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
+        return 2
     if tag in ("article", "main", "body", "html"):
-        return False
-    return found.get("role", "").lower() in ROLES or any(NAMES.search(found.get(a, "")) for a in ("class", "id"))
+        return 0
+    if found.get("role", "").lower() in ROLES:
+        return 2
+    names = [t for a in ("class", "id") for t in found.get(a, "").split() if is_name(t)]
+    return 2 if any(PROSE.search(t) for t in names) else int(bool(names))
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """(text, share of it in links, in boilerplate, number of its article or 0)."""
+def blocks(page: str) -> list[tuple[str, float, int, int]]:
+    """(text, share of it in links, in boilerplate (0 to 2), number of its article or 0)."""
     found, text, linked, in_link, breaks = [], [], 0, 0, 0
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, int, int]] = []  # tag, boilerplate, article
     articles = 0
 
     def close() -> None:
         nonlocal linked, breaks
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            found.append((whole, min(1.0, linked / len(whole)), stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
+            found.append((whole, min(1.0, linked / len(whole)), stack[-1][1] if stack else 0, stack[-1][2] if stack else 0))
         text.clear()
         linked, breaks = 0, 0
 
@@ -95,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 close()
         elif tag == "a":
             in_link = 0 if end else 1
-        elif tag in BLOCKS or (not end and tag not in VOID and is_boilerplate(tag, attributes, bool(stack and stack[-1][2]))) or (end and any(s[0] == tag for s in stack)):
+        elif tag in BLOCKS or (not end and tag not in VOID and boilerplate(tag, attributes, bool(stack and stack[-1][2]))) or (end and any(s[0] == tag for s in stack)):
             close()
             if end:
                 if any(s[0] == tag for s in stack):
@@ -104,9 +120,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             elif tag not in VOID and not attributes.endswith("/"):
                 if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                     stack.pop()  # their end tags may be left out
-                _, bad, article = stack[-1] if stack else ("", False, 0)
-                bad = bad or is_boilerplate(tag, attributes, bool(article))
+                _, bad, article = stack[-1] if stack else ("", 0, 0)
+                bad = max(bad, boilerplate(tag, attributes, bool(article)))
                 if (tag in ("article", "main") or 'role="main"' in attributes) and not article:
+                    bad = 0 if bad == 1 else bad
                     articles += 1
                     article = articles
                 stack.append((tag, bad, article))
@@ -116,28 +133,30 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     return found
 
 
-def first_pass(block: tuple[str, float, bool, int], has_article: bool) -> bool | None:
+def first_pass(block: tuple[str, float, int, int], has_article: bool) -> bool | None:
     """Good, bad or open (None)."""
-    text, links, boilerplate, article = block
-    if boilerplate or (has_article and not article) or links > LINKS:
+    text, links, enclosed, article = block
+    if enclosed == 2 or (has_article and not article) or links > LINKS or (enclosed and len(text) <= LONG):
         return False
     if len(text) <= SHORT:
         return None
     tokens = WORD.findall(text.lower())
     density = sum(t in STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
+    if enclosed:
+        return density >= STOP_HIGH
     if density >= (STOP_LOW if len(text) > LONG else STOP_HIGH):
         return True
     return None if article or density > 0 else False  # articles hold tables and lists without stop words
 
 
-def second_pass(labels: list[bool | None], found: list[tuple[str, float, bool, int]]) -> list[bool]:
+def second_pass(labels: list[bool | None], found: list[tuple[str, float, int, int]]) -> list[bool]:
     """Open blocks take the label of the nearest decided neighbour of their own article (or page), good ones first.
 
     The edges of an article are good neighbours. Containers of boilerplate in it are no neighbours.
     """
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(found):
-        if not (b[2] and b[3]):
+        if not (b[2] and b[3]) or labels[i]:
             groups.setdefault(b[3], []).append(i)
     out = [bool(label) for label in labels]
     for article, group in groups.items():
@@ -156,7 +175,7 @@ def second_pass(labels: list[bool | None], found: list[tuple[str, float, bool, i
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    has_article = any(b[3] and not b[2] for b in found)
+    has_article = any(b[3] and b[2] < 2 for b in found)
     labels = [first_pass(b, has_article) for b in found]
     return "\n".join(b[0] for b, good in zip(found, second_pass(labels, found), strict=True) if good)
 

@@ -101,6 +101,22 @@ def test_main_text_judges_blocks_inside_an_article():
     assert main_text.main_text(page.replace("main>", "div>")) == main_text.main_text(page)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content with-sidebar", "no-footer", "comments-open", "social-share-enabled", "content-sidebar"])
+def test_main_text_under_a_wrapper_with_a_modifier(name):
+    prose = PROSE.strip()
+    assert main_text.main_text(f'<div class="{name}"><article><h1>Head</h1><p>{PROSE}</p></article></div>') == f"Head\n{prose}"
+    assert main_text.main_text(f'<div class="{name}"><h2>Head</h2><p>{PROSE}</p></div>') == f"Head\n{prose}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "widget", "site-footer", "main-nav top"])
+def test_main_text_overrides_a_name(name):
+    """An article, or long text with many stop words, counts for more than a name above it; other text goes with the name."""
+    prose = PROSE.strip()
+    assert main_text.main_text(f'<div class="{name}"><article><p>Short.</p><p>{PROSE}</p></article></div>') == f"Short.\n{prose}"
+    assert main_text.main_text(f'<p>{PROSE}</p><div class="{name}"><p>Short.</p><p>{PROSE}</p></div>') == f"{prose}\n{prose}"
+    assert main_text.main_text(f'<article><p>{PROSE}</p><div id="comments"><p>{PROSE}</p></div></article><div class="cookie-notice">{PROSE}</div>') == prose
+
+
 def brute_fingerprint(text):
     tokens = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(tokens[i : i + 3]) for i in range(max(1, len(tokens) - 2))] if tokens else []
