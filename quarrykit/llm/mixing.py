@@ -3,7 +3,8 @@
 Documents are counted by exact token length within each source. A source whose target is above its own size is
 passed over whole as often as it fits; what is left of its budget is filled from the length histogram: an equal
 share of every length, then long documents, up to KNAPSACK words below the budget, and these by a bounded knapsack
-over the documents not used up, exactly if any subset of them allows.
+over the documents not used up, exactly if any subset of them allows. Where more than that is left, all documents not
+used up are so long that one of them fits at most, and the longest that does is taken.
 Documents are then selected by seeded hash order, as many of each length as the plan says.
 
 Nulls and odd rows: a null text has no words and is never taken; a null source is a source of its own, last in
@@ -74,13 +75,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSA
     bulk = max(0, budget - most)
     taken = np.array([int(c) * bulk // total for c in counts], dtype=np.int64)
     rest = budget - int((lengths * taken).sum())
+    best = fill(lengths, counts, taken.copy(), rest, most, most // 2)
+    if int((lengths * best).sum()) < budget and lengths.max() > most // 2:  # a long one may fit if it leaves less for short ones
+        best = max(best, fill(lengths, counts, taken, rest, most, 0), key=lambda t: int((lengths * t).sum()))
+    return best
+
+
+def fill(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, rest: int, most: int, leave: int) -> np.ndarray:
+    """Take documents not used up for ``rest`` words more: long ones down to ``leave`` words, then by knapsack."""
     for i in np.argsort(-lengths):  # long ones while they leave enough for a fit by short ones
-        if rest > most and lengths[i] <= rest - most // 2:
-            n = min(int(counts[i] - taken[i]), (rest - most // 2) // int(lengths[i]))
+        if rest > most and lengths[i] <= rest - leave:
+            n = min(int(counts[i] - taken[i]), (rest - leave) // int(lengths[i]))
             taken[i] += n
             rest -= n * int(lengths[i])
+    if rest > most:  # what is not used up is longer than rest - leave, so that one of them fits at most
+        fits = [i for i in range(len(lengths)) if taken[i] < counts[i] and lengths[i] <= rest]
+        if fits:
+            taken[max(fits, key=lambda i: lengths[i])] += 1
+        return taken
     # bounded knapsack: bit s of `reached` says that s words can be had
-    rest = min(rest, 4 * most)
     mask, reached, steps = (1 << (rest + 1)) - 1, 1, []
     for i in np.argsort(lengths):
         spare, lot, length = int(counts[i] - taken[i]), 1, int(lengths[i])

@@ -379,6 +379,13 @@ def test_fit_is_best(seed):
     assert reached == max(s for s in reach if s <= budget)
 
 
+@pytest.mark.parametrize("lengths, counts, budget, best", [([300_000], [3], 310_000, 300_000), ([290_000, 300_000], [2, 2], 299_999, 290_000), ([10, 300_000], [3, 1], 300_025, 300_020), ([400_000], [2], 399_999, 0), ([70_000], [2], 72_000, 70_000)])
+def test_fit_takes_very_long_documents(lengths, counts, budget, best):
+    lengths, counts = np.array(lengths), np.array(counts)
+    taken = mixing.fit(lengths, counts, budget)
+    assert (taken <= counts).all() and int((lengths * taken).sum()) == best
+
+
 def test_pipeline(spark, odd, rows):
     kept = None
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
