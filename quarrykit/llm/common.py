@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java classes of what stands between words: anything but digits, letters and non-ASCII; white space.
 NOT_ITEM_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WHITE = r"[\x20\x09-\x0D]+"
+#: Rows of a few numbers that are broadcast at most, some 50 MB.
+SMALL = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only a session without it, as in tests, gets a temporary one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session without it, as in tests, gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -32,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, of a few narrow columns and cheap to count, to be broadcast if it has SMALL rows at most; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; plain ASCII text takes the fast built-in."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -49,12 +59,18 @@ def text_hash(text: Column) -> Column:
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi- or anti-join of documents with (doc_id, text_hash) rows, nulls equal."""
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    """Semi- or anti-join of documents with (doc_id, text_hash) rows, nulls equal; texts are not shuffled for few keys."""
+    keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     on = F.col("_d.doc_id").eqNullSafe(F.col("_k._id")) & (text_hash(F.col("_d.text")) == F.col("_k._hash"))
     return docs.alias("_d").join(keys.alias("_k"), on, how)
 
 
+def first_of_repeats(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows of each (doc_id, text_hash) of ``keys``: that whose columns come first as JSON text."""
+    one = keep_rows(docs, keys, "left_semi").select(F.struct("*").alias("doc")).groupBy(F.col("doc.doc_id"), text_hash(F.col("doc.text"))).agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return keep_rows(docs, keys, "left_anti").unionByName(one.select("doc.*"))
+
+
 def pieces(text: str, most: int = 1 << 20) -> Iterator[str]:
     """The whole text in parts of about ``most`` characters, cut at ASCII white space, so that memory stays bounded."""
     at = 0

@@ -134,6 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     out = ["doc_id", "text_hash", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")]
     empty = keyed.filter("size = 0").withColumn("repeats", F.lit(0)).select(*out)  # need no rank
     placed = keyed.filter("size > 0").join(plan, ["sid", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.ceil(F.col("n") / BUCKET)))
+    placed = placed.repartition("sid", "size", "bucket")  # else a common length stays in one task, and its join cannot be split
     cell = Window.partitionBy("sid", "size", "bucket")
     sizes = placed.groupBy("sid", "size", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.select("sid", "size", "bucket", (F.sum("rows").over(Window.partitionBy("sid", "size").orderBy("bucket")) - F.col("rows")).alias("before"))

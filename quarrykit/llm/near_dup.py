@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST, parts: int = PARTS) -> Da
     linked = cut(linked.join(nodes, "fp"))
     named = linked.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("own.doc_id").isNotNull(), F.col("own"))), F.min("own")).alias("first"))
     found = linked.join(named, "label").select("fp", "first")
-    all_nodes = nodes.join(found, "fp", "left").select("fp", F.coalesce("first", "own").alias("first"))
+    all_nodes = cut(nodes.join(found, "fp", "left").select("fp", F.coalesce("first", "own").alias("first")))  # written, so that a hot fingerprint's join can be split
     return marked.join(all_nodes, "fp").select("doc_id", "text_hash", "fp", "first")
 
 

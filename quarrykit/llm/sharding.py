@@ -2,13 +2,16 @@
 
 Each node holds the documents of a run of shards. It is split along its widest dimension (spread in the node by
 spread overall) where the bytes to the left are to those of all as its left shards to all its shards, until every
-leaf is one shard. The median is found by counting: the split key is a 56-bit number (26 bits of the dimension, 30
-bits of a hash that orders equal values), and each round sums bytes by the next 14 bits inside the cell that holds
-the median, for all nodes at once. Only one row per node comes to the driver, and no text is shuffled.
-
-Dimensions: language, source, log of the size. Null values sort first, a null text has size 1; the hash separates
-equal texts of different doc_id, so a large group of copies is split like anything else. Rows equal in every
-column stay together. An empty table gives an empty result.
+leaf is one shard. The median is found by counting: a row's key is a 63-bit number (22 bits of the dimension's value
+between the node's least and greatest, 12 of a hash of the whole value, 14 of the text, 15 of the row), and each round
+sums bytes in equal cells of the range that holds the median, for all nodes at once, and goes on in the cell it lies in. The tree's figures stand as
+arrays by node in the expressions; one row per node comes to the driver, and no text is shuffled.
+
+Dimensions: language, source, log of the size. Strings count by the six bytes after what all of the node's values
+begin with, and values that agree in these too still stay apart by their hash. Null values sort first, a null text has
+size 1. Equal texts of one language and source stand side by side in every order, so copies stay together but where a
+median falls inside their group: under the law ``bytes`` a group larger than a shard must be parted. Rows of equal
+doc_id and text stay together. An empty table gives an empty result; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,92 +27,135 @@ from pyspark.sql import functions as F
 from quarrykit.llm.common import cut, table
 
 SHARDS = 8
-DIMENSIONS = ("by_lang", "by_source", "by_size")
-TIE_BITS, ROUND_BITS, ROUNDS = 30, 14, 4
-DIM_BITS = ROUND_BITS * ROUNDS - TIE_BITS
+DIMENSIONS = ("lang", "source", "by_size")
+SIZE = DIMENSIONS.index("by_size")
+VALUE_BITS, NAME_BITS, TEXT_BITS, ROW_BITS = 22, 12, 14, 15
+#: A round of a median counts bytes in so many cells of each node.
+CELLS = 1 << 15
 #: A median is near enough when the cell it falls in holds at most this share of a shard.
 NEAR = 1e-4
 #: Rows of a shard are numbered in buckets of about this many.
 BUCKET_ROWS = 100_000
 
 
-def ordinal(text: Column) -> Column:
-    """A number in the order of the first six bytes; null is 0."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
 def metadata(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), ordinal(F.col("lang")).alias("by_lang"), ordinal(F.col("source")).alias("by_source"), F.log2(size.cast("double")).alias("by_size"), F.xxhash64("doc_id", crc).alias("tie"))
-
-
-def nodes_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """At most one row per shard, as a literal, so that no Python runs on executors."""
-    names = [part.split()[0] for part in schema.split(", ")]
-    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
-    typed = ", ".join(":".join(part.split()) for part in schema.split(", "))
-    return F.broadcast(spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{typed}>>"))))
-
-
-def medians(keyed: DataFrame, goals: dict[int, float], near: float) -> dict[int, int]:
-    """Per node the last key that goes left, so that about ``goals`` bytes do. keyed: (node, key, size)."""
-    spark = keyed.sparkSession
-    open_ = {n: (0, goal) for n, goal in goals.items()}  # node: cell found so far, bytes wanted from it
-    done: dict[int, int] = {}
-    for r in range(1, ROUNDS + 1):
-        shift = ROUND_BITS * (ROUNDS - r)
-        cells = nodes_frame(spark, [(n, cell, goal) for n, (cell, goal) in open_.items()], "node int, cell long, goal double")
-        within = F.shiftright("key", shift + ROUND_BITS) == F.col("cell")
-        sums = keyed.join(cells, "node").filter(within).groupBy("node", "goal", F.shiftright("key", shift).alias("next")).agg(F.sum("size").alias("bytes"))
-        ordered = Window.partitionBy("node").orderBy("next")  # at most 2 ** ROUND_BITS rows
-        found = sums.withColumn("upto", F.sum("bytes").over(ordered)).groupBy("node").agg(
-            F.min_by(F.struct("next", "bytes", (F.col("upto") - F.col("bytes")).alias("before"), "goal"), F.when(F.col("upto") >= F.col("goal"), F.col("next"))).alias("x")
-        )
-        for node, x in found.collect():
-            want = x["goal"] - x["before"]
-            if r == ROUNDS or x["bytes"] <= near:
-                whole = want * 2 >= x["bytes"]  # the cell goes left or right as a whole, whichever is nearer
-                done[node] = (x["next"] + 1 << shift) - 1 if whole else (x["next"] << shift) - 1
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *names, F.log2(size.cast("double")).alias("by_size"), F.xxhash64("doc_id", crc).alias("tie"))
+
+
+def ordinal(text: Column, skip: Column) -> Column:
+    """A number in the order of the six bytes after the first ``skip``."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), skip + 1, F.lit(6)))
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+
+def ordinal_of(text: str, skip: int) -> float:
+    """``ordinal`` of one value, on the driver."""
+    return float(int.from_bytes(text.encode()[skip : skip + 6].ljust(6, b"\0"), "big"))
+
+
+def by_node(values: list, kind: str) -> Column:
+    """The value of the row's node, from an array that Spark folds into a literal."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("node"))
+
+
+class Ranges:
+    """Least and greatest of each dimension in a node."""
+
+    def __init__(self, row) -> None:
+        self.ends = [(row[f"min_{c}"], row[f"max_{c}"]) for c in DIMENSIONS]
+        self.bytes = row["bytes"]
+
+    def skip(self, d: int) -> int:
+        return 0 if d == SIZE else len(commonprefix([x.encode() for x in self.ends[d]]))
+
+    def number(self, d: int, skip: int) -> tuple[float, float]:
+        return self.ends[d] if d == SIZE else tuple(ordinal_of(x, skip) for x in self.ends[d])
+
+    def widest(self, overall: Ranges) -> int:
+        def spread(d: int) -> tuple[float, bool]:
+            low, high = self.number(d, overall.skip(d))
+            least, most = overall.number(d, overall.skip(d))
+            return (high - low) / ((most - least) or 1.0), self.ends[d][0] != self.ends[d][1]
+
+        return max(range(len(DIMENSIONS)), key=spread)
+
+
+def keyed_by(placed: DataFrame, dims: list[int], skips: list[int], lows: list[float], scales: list[float]) -> DataFrame:
+    """``placed`` with the key along its node's dimension, null in a node of one shard (dimension -1)."""
+    dim = by_node(dims, "int")
+    name = F.when(dim == SIZE, F.col("size").cast("string")).otherwise(F.get(F.array("lang", "source"), dim))
+    value = F.when(dim == SIZE, F.col("by_size")).otherwise(ordinal(name, by_node(skips, "int")))
+    placed = placed.withColumns({"dim_name": name, "scaled": F.floor((value - by_node(lows, "double")) * by_node(scales, "double"))})
+    bits = lambda c, n: c.bitwiseAND((1 << n) - 1)
+    key = F.shiftleft(F.greatest(F.lit(0), F.least("scaled", F.lit((1 << VALUE_BITS) - 1))), NAME_BITS + TEXT_BITS + ROW_BITS)
+    key += F.shiftleft(bits(F.xxhash64("dim_name"), NAME_BITS), TEXT_BITS + ROW_BITS) + F.shiftleft(bits(F.xxhash64("text_crc32", "size"), TEXT_BITS), ROW_BITS) + bits(F.col("tie"), ROW_BITS)
+    return placed.withColumn("key", F.when(F.col("dim_name").isNotNull(), key)).drop("dim_name", "scaled")
+
+
+def medians(keyed: DataFrame, ends: dict[int, tuple[int, int, int]], nodes: int, near: float) -> dict[int, int]:
+    """Per node the last key that goes left. ends: least and greatest key, bytes that are to go left. keyed: (node, key, size)."""
+    open_, done = dict(ends), {}
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(zero.alias("upto"), none.alias("low"), none.alias("high"), zero.alias("bytes"))
+
+    def step(a: Column, x: Column) -> Column:
+        """The first cell with which the bytes reach the goal, and the bytes up to it."""
+        upto = a["upto"] + x["bytes"]
+        here = F.struct(a["upto"].alias("upto"), x["low"].alias("low"), x["high"].alias("high"), x["bytes"].alias("bytes"))
+        return F.when(a["low"] >= 0, a).when(upto >= F.col("goal"), here).otherwise(F.struct(upto.alias("upto"), none.alias("low"), none.alias("high"), zero.alias("bytes")))
+
+    while open_:
+        of = lambda f: by_node([f(*open_[n]) if n in open_ else -1 for n in range(nodes)], "long")  # noqa: B023, E731
+        cell = F.expr("(key - low) div width")
+        inside = keyed.withColumns({"low": of(lambda a, b, g: a), "high": of(lambda a, b, g: b), "width": of(lambda a, b, g: (b - a) // CELLS + 1)}).filter("key between low and high")
+        sums = inside.groupBy("node", cell.alias("cell")).agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+        cells = sums.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("low", "high", "bytes"))).alias("cells"))  # CELLS at most
+        for node, x in cells.withColumn("goal", of(lambda a, b, g: g)).select("node", F.aggregate("cells", start, step)).collect():
+            want = open_[node][2] - x["upto"]
+            if x["low"] == x["high"] or x["bytes"] <= near:
+                done[node] = x["high"] if want * 2 >= x["bytes"] else x["low"] - 1  # the cell goes as a whole, whichever side is nearer
                 del open_[node]
             else:
-                open_[node] = (x["next"], want)
-        if not open_:
-            break
+                open_[node] = (x["low"], x["high"], want)
     return done
 
 
 def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every document, by number of shards or by bytes per shard."""
-    spark, meta = docs.sparkSession, cut(metadata(docs))
-    dims = [f(c).alias(f"{f.__name__}_{c}") for c in DIMENSIONS for f in (F.min, F.max)]
-    overall = meta.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *dims).first()
-    if not shards:
-        shards = max(1, math.ceil((overall["bytes"] or 0) / target_bytes))
-    wide = {c: (overall[f"max_{c}"] - overall[f"min_{c}"]) or 1.0 for c in DIMENSIONS} if overall["rows"] else {}
-    tree, placed, level = {0: shards} if overall["rows"] else {}, meta.withColumn("node", F.least("size", F.lit(0)).cast("int")), 0  # 0, but no literal: joins stay equi-joins
-    while any(k > 1 for k in tree.values()):
-        splits, goals = [], {}
-        for row in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *dims).collect():
-            if (k := tree.get(row["node"], 1)) > 1:
-                d = max(DIMENSIONS, key=lambda c: (row[f"max_{c}"] - row[f"min_{c}"]) / wide[c])
-                low, high = row[f"min_{d}"], row[f"max_{d}"]
-                splits.append((row["node"], DIMENSIONS.index(d), low, ((1 << DIM_BITS) - 1) / (high - low) if high > low else 0.0))
-                goals[row["node"]] = row["bytes"] * (k // 2) / k
-        value = F.get(F.array(*DIMENSIONS), F.col("dim"))
-        scaled = F.least(F.floor((value - F.col("low")) * F.col("scale")), F.lit((1 << DIM_BITS) - 1))
-        key = F.shiftleft(scaled, TIE_BITS) + F.col("tie").bitwiseAND((1 << TIE_BITS) - 1)
-        keyed = placed.join(nodes_frame(spark, splits, "node int, dim int, low double, scale double"), "node", "left").withColumn("key", key)
-        last = medians(keyed.filter("key is not null").select("node", "key", "size"), goals, NEAR * overall["bytes"] / shards)
-        moves = nodes_frame(spark, [(n, t, n + tree[n] // 2) for n, t in last.items()], "node int, last long, right int")
-        placed = keyed.join(moves, "node", "left").withColumn("node", F.when(F.col("key") > F.col("last"), F.col("right")).otherwise(F.col("node"))).select(*meta.columns, "node")
-        halves = [((node, k),) if k == 1 else ((node, k // 2), (node + k // 2, k - k // 2)) for node, k in tree.items()]
-        tree = dict(half for pair in halves for half in pair)
-        level += 1
-        if level % 3 == 0 and any(k > 1 for k in tree.values()):
-            placed = cut(placed)
-    placed = placed.withColumnRenamed("node", "shard").withColumn("bucket", F.pmod("tie", F.lit(max(32, overall["rows"] // (BUCKET_ROWS * shards)))))
+    placed = cut(metadata(docs)).withColumn("node", F.lit(0))
+    columns, overall, rows, tree = placed.columns, None, 0, [shards or 1]  # tree: shards of each node, from left to right
+    while overall is None or max(tree) > 1:
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in DIMENSIONS for f in (F.min, F.max)]
+        found = {r["node"]: r for r in placed.groupBy("node").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ends).collect()}
+        if overall is None:
+            if not found:
+                break
+            overall, rows = Ranges(found[0]), found[0]["rows"]
+            shards = shards or max(1, math.ceil(overall.bytes / target_bytes))
+            tree = [shards]
+            if shards == 1:
+                break
+        dims, skips, lows, scales, goals = [], [], [], [], {}
+        for node, k in enumerate(tree):
+            at = Ranges(found[node]) if k > 1 and node in found else None
+            d = at.widest(overall) if at else -1
+            skip = at.skip(d) if at else 0
+            low, high = at.number(d, skip) if at else (0.0, 0.0)
+            for x, to in ((d, dims), (skip, skips), (low, lows), (((1 << VALUE_BITS) - 1) / (high - low) if high > low else 0.0, scales)):
+                to.append(x)
+            if at:
+                goals[node] = (0, (1 << 63) - 1, at.bytes * (k // 2) // k)
+        keyed = cut(keyed_by(placed, dims, skips, lows, scales))
+        last = medians(keyed.select("node", "key", "size"), goals, len(tree), NEAR * overall.bytes / shards)
+        halves = [(k,) if k == 1 else (k // 2, k - k // 2) for k in tree]
+        first = [sum(map(len, halves[:i])) for i in range(len(halves))]
+        right = F.col("key") > by_node([last.get(n, (1 << 63) - 1) for n in range(len(tree))], "long")
+        placed = keyed.withColumn("node", by_node(first, "int") + F.when(right, 1).otherwise(0)).select(*columns)
+        tree = [k for half in halves for k in half]
+    placed = placed.withColumnRenamed("node", "shard").withColumn("bucket", F.pmod("tie", F.lit(max(32, rows // (BUCKET_ROWS * len(tree))))))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = counts.select("shard", "bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("tie", "doc_id"))

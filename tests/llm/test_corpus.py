@@ -12,19 +12,21 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrykit.llm import archive, decontaminate, language, main_text, mixing, near_copies, near_dup, neighbours, queries, sharding, toxicity, url_filter
+from quarrykit.llm.common import first_of_repeats, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, text_hash string, h int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, text_hash string, h int, _id string, _copy int, _hash int, doc string, times int, rows int, node string, key int"
 ODD = [(None, "the quick brown fox jumps over it", "en", "a"), (1, None, None, None), (2, "", "en", "a"), (3, "...", "en", "b"), (4, "the quick brown fox jumps over it", "en", None), (4, "the quick brown fox jumps over it", "en", None), (5, "word " * 30_000, "en", "b")]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, 0, 9, "clash", 1) for r in ODD], DOCS)
+    return spark.createDataFrame([(*r, 0, 9, "clash", 1, "clash", 2, 3, "clash", 4, 5, "clash", 6) for r in ODD], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -224,6 +226,60 @@ def test_sharding(spark, docs, rows, odd, none):
     assert sharding.shard(docs, None, int(loads.sum()) // 3 + 1).select("shard").distinct().count() == 3
 
 
+def plain_tree(rows, shards):
+    """{doc_id: shard} of a k-d tree by sorting; rows: (doc_id, size, lang, source) whose values along a split are distinct or not cut."""
+
+    rows = [(i, n, lang, source, np.log2(n)) for i, n, lang, source in rows]
+
+    def numbers(values, frame):
+        if not isinstance(values[0], str):
+            return values
+        at = len(os.path.commonprefix([v.encode() for v in frame]))
+        return [int.from_bytes(v.encode()[at : at + 6].ljust(6, b"\0"), "big") for v in values]
+
+    def spread(part, d):
+        frame = [r[d] for r in rows]
+        own, every = numbers([r[d] for r in part], frame), numbers(frame, frame)
+        return (max(own) - min(own)) / ((max(every) - min(every)) or 1)
+
+    def split(part, k, first):
+        if k == 1:
+            return {r[0]: first for r in part}
+        d = max((2, 3, 4), key=lambda d: spread(part, d))
+        goal, so_far, left = sum(r[1] for r in part) * (k // 2) // k, 0, 0
+        part = sorted(part, key=lambda r: r[d])
+        while so_far + part[left][1] < goal:
+            so_far, left = so_far + part[left][1], left + 1
+        left += 2 * (goal - so_far) >= part[left][1]
+        return split(part[:left], k // 2, first) | split(part[left:], k - k // 2, first + k // 2)
+
+    return split(rows, shards, 0)
+
+
+@pytest.mark.parametrize("shards", [2, 3, 8])
+def test_sharding_is_a_plain_tree(spark, shards):
+    rng = np.random.default_rng(shards)
+    sources = [f"common-crawl-{i:04d}" for i in rng.permutation(400)]  # all alike in their first bytes
+    rows = [(i, "x" * int(n), f"l{(i * 7) % 400:03d}", sources[i]) for i, n in enumerate(rng.permutation(400) * 13 + 5)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards).collect()}
+    assert got == plain_tree([(i, len(t) + 1, lang, source) for i, t, lang, source in rows], shards)
+
+
+def test_sharding_of_copies_and_ties(spark):
+    """A group of copies larger than a shard is parted evenly; smaller groups stay together; sources that begin alike are told apart."""
+    rows = [(i, "the same text", "en", "a") for i in range(900)]
+    rows += [(1000 + i, "one of two sources", "en", f"source_{'one' if i % 2 else 'two'}") for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 4).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 4 and loads.max() - loads.min() < 0.02 * loads.mean()
+    two = spark.createDataFrame(rows[900:], "doc_id long, text string, lang string, source string")
+    by = {r["doc_id"]: r["shard"] for r in sharding.shard(two, 2).collect()}
+    assert {by[1000 + i] for i in range(0, 200, 2)} != {by[1000 + i] for i in range(1, 200, 2)} and len(set(by.values())) == 2
+    groups = spark.createDataFrame([(i, f"text number {i // 10:03d}", "en", "a") for i in range(800)], "doc_id long, text string, lang string, source string")
+    parted = sharding.shard(groups).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count()
+    assert parted <= 7  # a median may fall inside a group, once each
+
+
 def test_language(spark, odd, none, rows):
     got = language.op5_identify_language(spark, FOLDER).toPandas().merge(rows, on="doc_id")
     held = got[got["held_out"]]
@@ -386,6 +442,25 @@ def test_fit_takes_very_long_documents(lengths, counts, budget, best):
     assert (taken <= counts).all() and int((lengths * taken).sum()) == best
 
 
+def test_repeated_rows_become_the_first(spark):
+    rows = [(1, "a b c", "en", "y"), (1, "a b c", "en", "x"), (1, "a b c", None, "y"), (2, "d e f", "en", "x"), (None, "a g", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    keys = docs.filter("doc_id = 1").select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+    assert sorted(map(str, first_of_repeats(docs, keys).collect())) == sorted(str(Row(doc_id=r[0], text=r[1], lang=r[2], source=r[3])) for r in (rows[1], rows[3], rows[4]))
+    kept = corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in kept) == [(0, "x"), (1, "x"), (2, "x")]
+    # of each (doc_id, text) the first row, as often as the mix takes all of them
+    mixed = corpus_pipeline.mixed(spark, docs, FOLDER).collect()
+    assert {r["source"] for r in mixed if r["doc_id"] == 1} <= {"x"}
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(spark)
+
+
 def test_pipeline(spark, odd, rows):
     kept = None
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -393,8 +468,8 @@ def test_pipeline(spark, odd, rows):
         docs = stage(spark, docs, FOLDER).cache()
         now = docs.toPandas()
         if name == "near_duplicates":
-            prints = [brute_fingerprint(t) for t in kept["text"]]
-            assert set(now["doc_id"]) == set(brute_components(kept["doc_id"].tolist(), prints))
+            # stages on word shingles take five words and a similarity of 0.8, not op3's contract
+            assert set(now["doc_id"]) == set(five_word_components(kept["doc_id"].tolist(), kept["text"]))
         if name == "decontamination":
             bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()["text"].map(item_words)
             windows = {tuple(b[i : i + 10]) for b in bench for i in range(max(1, len(b) - 9)) if b}
@@ -405,6 +480,7 @@ def test_pipeline(spark, odd, rows):
         kept = now
     assert set(kept["shard"]) <= set(range(8))
     for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, odd.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")), FOLDER).columns == odd.columns
         out = stage(spark, odd, FOLDER)
         assert out.columns == odd.columns, name
         out.collect()
