@@ -4,8 +4,9 @@ Learning takes a bounded sample of labelled texts, as many of either class at mo
 stand in MIN_DF texts or more. A term weighs its IDF times how far it goes with either label (FLOOR plus the phi
 coefficient), so that the cosine compares what bears on toxicity and yet every word counts. The examples' vectors go
 to an inverted index; postings of the COMMON terms are cut into blocks of examples, each with its largest weight. A
-query sums its other terms, adds these weights for a bound per block and opens blocks from the highest bound on, until
-no other can reach the K-th best. That is exact. The neighbours' labels, weighted by squared cosine and by how their
+query sums its other terms, adds these weights for a bound per block and opens blocks from the highest bound on, but
+none that cannot reach the K-th best so far; some queries go together, so that a block is one product of matrices.
+What is within rounding of the K-th best is scored again in double precision: that is exact. The neighbours' labels, weighted by squared cosine and by how their
 class was sampled, give a vote; isotonic regression over leave-one-out votes of the sample makes it a probability.
 
 A text without any of the terms gets the rate of such texts in the sample. Null and empty texts are such texts.
@@ -18,7 +19,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,9 @@ from quarrykit.llm.common import cut, pieces, table
 SAMPLE = 20_000
 #: A term stands in MIN_DF texts of the sample; one that tells nothing of the label has FLOOR of its IDF.
 MIN_DF, FLOOR = 2, 0.01
-K, BLOCK, FIRST_BLOCKS, COMMON = 15, 64, 8, 256
+K, BLOCK, COMMON = 15, 256, 256
+#: So many texts are searched together; float32 sums are at most this far from the exact ones.
+TOGETHER, NEAR = 32, 1e-5
 TOXIC = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,6 +50,10 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+#: The numbers of the terms of a text, sorted, and how often they stand in it, as int32 bytes.
+Query = tuple[bytes, bytes]
+
+
 class Examples:
     """The index: ids and labels of examples, postings by term, block bounds, calibration."""
 
@@ -66,57 +72,66 @@ class Examples:
         self.idf = (np.log((1 + n) / (1 + df)) + 1e-9) * (FLOOR + phi)
         w = (1 + np.log(tf)) * self.idf[t]
         norm = np.sqrt(np.bincount(x, w * w, minlength=len(self.ids)))
+        w = w / np.where(norm[x] > 0, norm[x], 1)
+        # by example, for exact scores; by term, for the search, where float32 will do
+        self.first, self.size, self.own_term, self.own_w = np.cumsum(np.bincount(x, minlength=len(who))) - np.bincount(x, minlength=len(who)), np.bincount(x, minlength=len(who)), t.astype(np.int32), w
         order = np.lexsort((x, t))
-        self.example, self.w = x[order].astype(np.int32), (w / norm[x])[order] if len(x) else w
+        self.example, self.w = x[order].astype(np.int32), w[order].astype(np.float32)
         self.blocks = -(-len(self.ids) // BLOCK)
-        # a term's postings are one segment; those of the most common terms also stand as dense blocks with their largest weights
-        self.seg_size, self.term_seg = df.astype(np.int64), np.arange(len(terms) + 1)
+        self.seg_size = df.astype(np.int64)
         self.seg_start = np.cumsum(self.seg_size) - self.seg_size
+        # the most common terms stand as dense blocks with their largest weights
         common = np.argsort(-df, kind="stable")[:COMMON]
         self.row = np.full(len(terms), -1, np.int64)
         self.row[common] = np.arange(len(common))
-        dense = np.zeros((len(common), self.blocks * BLOCK))
+        dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         for i, c in enumerate(common):
             p = slice(self.seg_start[c], self.seg_start[c] + self.seg_size[c])
             dense[i, self.example[p]] = self.w[p]
-        self.dense = dense.reshape(len(common), self.blocks, BLOCK)
-        self.most = self.dense.max(axis=2) if dense.size else np.zeros((len(common), self.blocks))
+        self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.most = self.dense.max(axis=2).T if dense.size else np.zeros((len(common), self.blocks), np.float32)
         bare = norm == 0
         self.bare = float((self.weight * self.labels)[bare].sum() / max(self.weight[bare].sum(), 1e-9)) if len(self.ids) else 0.0
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def search(self, query: tuple[tuple[int, float], ...], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, ties to the smaller id. query: (term, tf)."""
-        q = np.array([(1 + np.log(tf)) * self.idf[t] for t, tf in query])
-        q /= np.sqrt((q * q).sum())
-        t = np.array([t for t, _ in query])
-        row = self.row[t]
-        t, rare, q, row = t[row < 0], q[row < 0], q[row >= 0], row[row >= 0]
-        p, sizes = spans(self.seg_start[t], self.seg_size[t]), self.seg_size[t]
-        score = np.bincount(self.example[p], np.repeat(rare, sizes) * self.w[p], minlength=self.blocks * BLOCK).astype(float)
-        if skip >= 0:
-            score[skip] = -9
-        score = score.reshape(self.blocks, BLOCK)
-        bound = score.max(axis=1) + q @ self.most[row]
-
-        def open_(blocks: np.ndarray) -> float:
-            """Add the common terms to the scores in these blocks; a bound from below on the k-th best of all."""
-            if len(row) and len(blocks):
-                score[blocks] += np.tensordot(q, self.dense[np.ix_(row, blocks)], 1)
-            return float(np.partition(score.ravel(), -k)[-k]) if len(self.ids) >= k else 0.0
-
-        order = np.argsort(-bound, kind="stable")
-        kth = open_(order[:FIRST_BLOCKS])
-        rest = order[FIRST_BLOCKS:]
-        left = rest[bound[rest] >= kth - 1e-9]
-        kth = open_(left)
-        whole = np.zeros(self.blocks, bool)
-        whole[order[:FIRST_BLOCKS]] = whole[left] = True
-        score[~whole] = 0
-        score = score.ravel()[: len(self.ids)].round(12)
-        ids = np.flatnonzero(score >= max(round(kth, 12), 1e-12))
-        top = ids[np.lexsort((ids, -score[ids]))[:k]]
-        return top, score[top]
+    def search(self, queries: list[Query], k: int = K, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k nearest examples and their cosines, ties to the smaller id; but not example ``skip``."""
+        n, many = len(self.ids), len(queries)
+        scores, common, vectors = np.zeros((many, self.blocks * BLOCK), np.float32), np.zeros((many, len(self.most)), np.float32), []
+        for i, query in enumerate(queries):
+            t, tf = (np.frombuffer(x, np.int32) for x in query)
+            q = (1 + np.log(tf)) * self.idf[t]
+            q /= np.sqrt((q * q).sum())
+            vectors.append((t, q))
+            row = self.row[t]
+            common[i, row[row >= 0]] = q[row >= 0]
+            t, q = t[row < 0], q[row < 0]
+            sizes = self.seg_size[t]
+            p = spans(self.seg_start[t], sizes)
+            scores[i] = np.bincount(self.example[p], np.repeat(q, sizes) * self.w[p], minlength=self.blocks * BLOCK)
+            if skip is not None:
+                scores[i, skip[i]] = -9
+        blocks = scores.reshape(many, self.blocks, BLOCK)
+        bound = blocks.max(axis=2, initial=-9) + common @ self.most
+        top, opened = np.full((many, k), -np.inf, np.float32), np.zeros((many, self.blocks), bool)
+        for at in np.argsort(-bound.max(axis=0, initial=-9), kind="stable"):
+            active = np.flatnonzero(bound[:, at] >= top[:, 0] - NEAR)  # others have k better ones already
+            if len(active):
+                found = blocks[active, at] + common[active] @ self.dense[at]
+                blocks[active, at], opened[active, at] = found, True
+                top[active] = np.partition(np.concatenate((top[active], found), axis=1), -k, axis=1)[:, -k:]
+                top[active, 0] = top[active].min(axis=1)
+        out, query_of = [], np.zeros(len(self.idf))
+        for i, (t, q) in enumerate(vectors):
+            least = max(float(top[i, 0]) - NEAR, 0.0)
+            ids = np.flatnonzero(((blocks[i] >= least) & (blocks[i] > 0) & opened[i][:, None]).ravel()[:n])
+            query_of[t] = q
+            p, sizes = spans(self.first[ids], self.size[ids]), self.size[ids]
+            exact = np.bincount(np.repeat(np.arange(len(ids)), sizes), query_of[self.own_term[p]] * self.own_w[p], minlength=len(ids)).round(12)
+            query_of[t] = 0
+            best = np.lexsort((ids, -exact))[:k]
+            out.append((ids[best], exact[best]))
+        return out
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = self.weight[ids] * cosines**2
@@ -135,16 +150,24 @@ class Examples:
             v, y, w = np.array(pools).T
             self.steps = (v / w, y / w)
 
-    def query(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        return tuple(sorted((self.terms[t], n) for t, n in counts(text, self.terms).items()))
+    def query(self, text: str | None) -> Query:
+        found = counts(text, self.terms)
+        t, tf = np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        order = np.argsort(t)
+        return t[order].tobytes(), tf[order].tobytes()
+
+    def judged(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the neighbours, their cosines) of each text; equal ones are searched once."""
+        queries = [self.query(t) for t in texts]
+        asked, said = [q for q in dict.fromkeys(queries) if q[0]] if len(self.ids) else [], {}
+        for at in range(0, len(asked), TOGETHER):
+            part = asked[at : at + TOGETHER]
+            for query, (ids, cosines) in zip(part, self.search(part), strict=True):
+                said[query] = float(np.interp(self.vote(ids, cosines), *self.steps)), self.ids[ids].tolist(), cosines.tolist()
+        return [said.get(q) or (self.bare, [], []) for q in queries]
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        query = self.query(text)
-        return self.judged(query) if query and len(self.ids) else (self.bare, [], [])
-
-    def judged(self, query: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[float]]:
-        ids, cosines = self.search(query)
-        return float(np.interp(self.vote(ids, cosines), *self.steps)), self.ids[ids].tolist(), cosines.tolist()
+        return self.judged([text])[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -188,7 +211,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
         model = shared.value
         for b in batches:
             asked = [(i, int(np.searchsorted(model.ids, i)), model.query(text)) for i, text in zip(b["doc_id"], b["text"], strict=True)]
-            yield pd.DataFrame([(i, model.vote(*model.search(query, skip=x))) for i, x, query in asked if query], columns=["doc_id", "vote"])
+            asked = [x for x in asked if x[2][0]]
+            for at in range(0, len(asked), TOGETHER):
+                ids, skip, queries = zip(*asked[at : at + TOGETHER], strict=True)
+                yield pd.DataFrame({"doc_id": ids, "vote": [model.vote(*found) for found in model.search(list(queries), skip=list(skip))]})
 
     if terms:
         own = texts.mapInPandas(votes, "doc_id long, vote double").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
@@ -202,10 +228,8 @@ def score(docs: DataFrame, model: Examples) -> DataFrame:
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        model.judged = lru_cache(256)(Examples.judged.__get__(model))  # for copies
         for batch in texts:
-            yield pd.DataFrame([model.score(t) for t in batch], columns=["score", "neighbours", "cosines"])
+            yield pd.DataFrame(shared.value.judged(list(batch)), columns=["score", "neighbours", "cosines"])
 
     return docs.withColumn("_said", judge(F.col("text"))).select(*docs.columns, "_said.score", "_said.neighbours", "_said.cosines")
 

@@ -360,18 +360,18 @@ def test_toxicity(spark, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.learn(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     dense = np.zeros((len(model.ids), len(model.terms)))
-    sizes = [int(model.seg_size[a:b].sum()) for a, b in zip(model.term_seg[:-1], model.term_seg[1:], strict=True)]
-    dense[model.example, np.repeat(np.arange(len(sizes)), sizes)] = model.w
+    dense[np.repeat(np.arange(len(model.ids)), model.size), model.own_term] = model.own_w
     known = docs.join(labels, "doc_id").toPandas()
-    for text in known["text"]:
-        query = tuple(sorted((model.terms[t], n) for t, n in toxicity.counts(text, model.terms).items()))
-        if query:
-            q = np.zeros(len(model.terms))
-            for t, n in query:
-                q[t] = (1 + np.log(n)) * model.idf[t]
-            score = (dense @ (q / np.linalg.norm(q))).round(12)
-            ids, found = model.search(query)
-            assert np.allclose(np.sort(score[score > 0])[::-1][:15], found, atol=1e-9) and np.allclose(score[ids], found, atol=1e-9)
+    queries = [q for q in map(model.query, known["text"]) if q[0]]
+    found = [x for at in range(0, len(queries), 50) for x in model.search(queries[at : at + 50])]
+    for query, (ids, cosines) in zip(queries, found, strict=True):
+        t, tf = (np.frombuffer(x, np.int32) for x in query)
+        q = np.zeros(len(model.terms))
+        q[t] = (1 + np.log(tf)) * model.idf[t]
+        score = (dense @ (q / np.linalg.norm(q))).round(12)
+        assert np.allclose(np.sort(score[score > 0])[::-1][:15], cosines, atol=1e-9) and np.allclose(score[ids], cosines, atol=1e-9)
+        assert ids.tolist() == sorted(ids.tolist(), key=lambda i: (-cosines[ids.tolist().index(i)], i))
+    assert model.judged(known["text"].tolist()[:70]) == [model.score(t) for t in known["text"][:70]]
     scored = np.array([model.score(t)[0] for t in known["text"]])
     flagged = scored >= toxicity.TOXIC
     assert (known["toxic"][flagged] == 1).mean() > 0.85 and flagged[known["toxic"] == 1].mean() > 0.6
