@@ -59,30 +59,44 @@ class Examples:
 
     def __init__(self, terms: list[str], rows: pd.DataFrame, weights: tuple[float, float]) -> None:
         """rows: (doc_id, toxic, terms, tfs), the numbers of an example's terms and how often they stand in it, as int32 bytes."""
-        self.terms = {t: i for i, t in enumerate(terms)}
         who = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        self.terms = {t: i for i, t in enumerate(terms)}
         self.ids, self.labels = who["doc_id"].to_numpy(np.int64), who["toxic"].to_numpy(np.int64)
         self.weight = np.where(self.labels == 1, weights[1], weights[0])
-        t, tf = (np.frombuffer(b"".join(who[c]), np.int32).astype(np.int64) for c in ("terms", "tfs"))
-        x = np.repeat(np.arange(len(who)), [len(b) // 4 for b in who["terms"]])
-        df, toxic = (np.bincount(part, minlength=len(terms)).astype(float) for part in (t, t[self.labels[x] == 1]))
-        n, pos = float(len(self.ids)), float(self.labels.sum())
+        self.size = np.array([len(b) // 4 for b in who["terms"]], np.int64)
+        self.own_term, self.tf = (np.frombuffer(b"".join(who[c]), np.int32) for c in ("terms", "tfs"))
+        self.tf = self.tf.astype(np.min_scalar_type(int(self.tf.max(initial=0))))
+        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.index()
+
+    def __getstate__(self) -> dict:
+        """What is sent to executors: the counts; they make the index of them themselves."""
+        return {k: self.__dict__[k] for k in ("terms", "ids", "labels", "weight", "size", "own_term", "tf", "steps")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.index()
+
+    def index(self) -> None:
+        many, n, pos = len(self.terms), float(len(self.ids)), float(self.labels.sum())
+        t, x = self.own_term, np.repeat(np.arange(len(self.ids), dtype=np.int32), self.size)
+        df, toxic = (np.bincount(part, minlength=many).astype(float) for part in (t, t[self.labels[x] == 1]))
         spread = df * (n - df) * pos * (n - pos)
         phi = np.abs(toxic * n - df * pos) / np.sqrt(np.where(spread > 0, spread, np.inf))
         self.idf = (np.log((1 + n) / (1 + df)) + 1e-9) * (FLOOR + phi)
-        w = (1 + np.log(tf)) * self.idf[t]
+        w = (1 + np.log(self.tf.astype(float))) * self.idf[t]
         norm = np.sqrt(np.bincount(x, w * w, minlength=len(self.ids)))
         w = w / np.where(norm[x] > 0, norm[x], 1)
         # by example, for exact scores; by term, for the search, where float32 will do
-        self.first, self.size, self.own_term, self.own_w = np.cumsum(np.bincount(x, minlength=len(who))) - np.bincount(x, minlength=len(who)), np.bincount(x, minlength=len(who)), t.astype(np.int32), w
-        order = np.lexsort((x, t))
-        self.example, self.w = x[order].astype(np.int32), w[order].astype(np.float32)
+        self.first, self.own_w = np.cumsum(self.size) - self.size, w
+        order = np.argsort(t, kind="stable")
+        self.example, self.w = x[order], w[order].astype(np.float32)
         self.blocks = -(-len(self.ids) // BLOCK)
         self.seg_size = df.astype(np.int64)
         self.seg_start = np.cumsum(self.seg_size) - self.seg_size
         # the most common terms stand as dense blocks with their largest weights
         common = np.argsort(-df, kind="stable")[:COMMON]
-        self.row = np.full(len(terms), -1, np.int64)
+        self.row = np.full(many, -1, np.int64)
         self.row[common] = np.arange(len(common))
         dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         for i, c in enumerate(common):
@@ -92,7 +106,6 @@ class Examples:
         self.most = self.dense.max(axis=2).T if dense.size else np.zeros((len(common), self.blocks), np.float32)
         bare = norm == 0
         self.bare = float((self.weight * self.labels)[bare].sum() / max(self.weight[bare].sum(), 1e-9)) if len(self.ids) else 0.0
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def search(self, queries: list[Query], k: int = K, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k nearest examples and their cosines, ties to the smaller id; but not example ``skip``."""
@@ -204,6 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [blob(known.value[t] for t in c) for c in found], "tfs": [blob(c.values()) for c in found]})
 
     rows = texts.mapInPandas(vectors, "doc_id long, toxic int, terms binary, tfs binary").toPandas()
+    known.destroy()
     model = Examples(terms, rows, (1 / share.get(0, 1.0), 1 / share.get(1, 1.0)))
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -218,6 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
 
     if terms:
         own = texts.mapInPandas(votes, "doc_id long, vote double").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+        shared.destroy()  # the one without calibration
         model.calibrate(own["vote"].to_numpy(), np.searchsorted(model.ids, own["doc_id"].to_numpy(np.int64)))
     return model
 
