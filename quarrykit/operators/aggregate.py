@@ -120,3 +120,25 @@ def union_tables(*tables: DataFrame) -> DataFrame:
     mixed = {name for name, k in kinds.items() if len(k) > 1}
     cast = [t.select(*[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in t.columns]) for t in tables]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
+
+
+def report(df: DataFrame, columns: list[str], units: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """(name, total, average, least, most, count, unit) of numeric columns in one pass; ``units``: column of the unit, whose first value in ``order`` counts."""
+    unit = lambda c: F.min_by(F.when(F.col(units[c]).isNotNull(), F.col(units[c])), F.when(F.col(units[c]).isNotNull(), F.col(order))) if units and c in units else F.lit(None).cast("string")
+    made = [F.struct(F.lit(c).alias("name"), F.sum(c).cast("double").alias("total"), F.avg(c).cast("double").alias("average"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"), F.count(c).alias("count"), unit(c).alias("unit")) for c in columns]
+    return df.agg(F.array(*made).alias("_r")).select(F.inline("_r"))
+
+
+def rankings(df: DataFrame, group: str, columns: list[str], k: int = 5) -> DataFrame:
+    """(metric, rank, name, total): the k groups of greatest sum for each column, from one aggregation."""
+    sums = df.groupBy(group).agg(F.array(*[F.struct(F.lit(c).alias("metric"), F.sum(c).cast("double").alias("total")) for c in columns]).alias("_s"))
+    each = sums.select(F.col(group).cast("string").alias("name"), F.inline("_s")).filter("total is not null")
+    rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("total"), "name"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("metric", "rank", "name", "total")
+
+
+def chart_series(df: DataFrame, x: str, y: str, kind: str, k: int = 10) -> DataFrame:
+    """(at, x, y), the points of a chart: for bars the k greatest sums, for a line the sums in order of x."""
+    sums = df.groupBy(F.col(x).cast("string").alias("x")).agg(F.sum(y).cast("double").alias("y"))
+    best = sums.orderBy(F.desc("y"), "x").limit(k) if kind == "bar" else sums
+    return best.withColumn("at", F.row_number().over(Window.orderBy(F.desc("y"), "x") if kind == "bar" else Window.orderBy("x"))).select("at", "x", "y")

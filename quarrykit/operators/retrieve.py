@@ -34,6 +34,51 @@ def bm25(docs: DataFrame, text: str, query: list[str], k: int = 10, within: Colu
     return (scored if within is None else scored.filter(within)).orderBy(F.desc("score"), docs.columns[0]).limit(k)
 
 
+def index_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, tf, dl): the postings, to be written partitioned or sorted by term; documents without tokens have a null term."""
+    marked = docs.select(key, F.transform(F.array(tokens(F.col(text))), lambda ts: ts)[0].alias("_t"))
+    words = marked.select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    return words.groupBy("term", key, "dl").agg(F.count("term").alias("tf"))
+
+
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """(term, df, cf): in how many documents a term stands, and how often in all."""
+    return postings.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def search_index(postings: DataFrame, key: str, query: list[str], k: int = 10) -> DataFrame:
+    """(key, score) of the k best by BM25: only the query's terms are read from the postings, but all lengths."""
+    asked = postings.sparkSession.createDataFrame(list(Counter(query).items()), "term string, times int")
+    lengths = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
+    found = postings.join(F.broadcast(asked), "term")  # the words of one query
+    of_term = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(EPSILON))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
+    return found.join(of_term, "term").join(F.broadcast(lengths), how="cross").groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def best_per_group(vectors: DataFrame, column: str, query: list[float], group: str, key: str, k: int = 3) -> DataFrame:
+    """(group, rank, key, score): the k nearest rows of each group."""
+    scored = vectors.select(group, key, cosine(F.col(column), query).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(group, "rank", key, "score")
+
+
+def compressed(answer: Column, words: int = 150) -> Column:
+    """Whole sentences while they fit the number of words; if not even the first does, its words and '...'."""
+    count = lambda s: F.size(F.array_remove(F.split(s, r"[ \t\n\x0B\f\r]+"), ""))
+    parts = F.split(F.trim(answer), r"(?<=[.!?])\s+")
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, s: Column) -> Column:
+        fits = a["open"] & (a["n"] + count(s) <= words)
+        return F.struct(F.when(fits, a["n"] + count(s)).otherwise(a["n"]).alias("n"), fits.alias("open"), F.when(fits, F.concat(a["kept"], F.array(s))).otherwise(a["kept"]).alias("kept"))
+
+    kept = F.aggregate(parts, start, step)["kept"]
+    head = F.array_join(F.slice(F.array_remove(F.split(answer, r"[ \t\n\x0B\f\r]+"), ""), 1, words), " ")
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).when(count(answer) > 0, F.concat(head, F.lit("..."))).otherwise("")
+
+
 def cosine(vector: Column, query: list[float]) -> Column:
     """In double precision; zero vectors score 0; a longer query is cut, a shorter one counts as filled with zeros."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -378,7 +378,7 @@ def distribution_stats(table):
     return rounded(profile.distribution(table("lineitem"), "l_extendedprice"))
 
 
-_SIZED = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}
+_SIZED = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
 
 @query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows, {n}::INTEGER AS columns FROM {name}" for name, n in _SIZED.items()))
@@ -426,3 +426,68 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS count, round(count
 )
 def rolling_rate(table):
     return rounded(windows.rate(table("events"), "ts", step="10 seconds"), 6).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_TOKENS = _BM25[_BM25.index("d AS (") : _BM25.index("\nl AS")].rstrip().rstrip(",")
+
+
+@query(f"WITH {_TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY doc_id, term) GROUP BY term")
+def bm25_index(table):
+    return retrieve.term_statistics(retrieve.index_terms(table("documents"), "doc_id", "text"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, doc_id LIMIT 10")
+def bm25_from_index(table):
+    return rounded(retrieve.search_index(retrieve.index_terms(table("documents"), "doc_id", "text"), "doc_id", _BM25_TERMS), 6)
+
+
+@query(f"WITH {_COS} SELECT label, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 3")
+def nearest_per_label(table):
+    return rounded(retrieve.best_per_group(table("embeddings"), "embedding", _first_vector(table), "label", "vec_id"), 6)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(sum({c}), 2) AS total, round(avg({c}), 4) AS average, round(min({c}), 4) AS least, round(max({c}), 4) AS most, count({c}) AS count, {u} AS unit FROM lineitem" for c, u in zip(LINE, ("NULL", "(SELECT l_linestatus FROM lineitem WHERE l_linestatus IS NOT NULL ORDER BY l_orderkey, l_linenumber LIMIT 1)", "NULL", "NULL"), strict=True)))
+def metric_report(table):
+    lines = table("lineitem").withColumn("at", F.struct("l_orderkey", "l_linenumber"))
+    return rounded(aggregate.report(lines, LINE, {"l_extendedprice": "l_linestatus"}, "at")).withColumn("total", F.round("total", 2))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS metric, rank::INTEGER AS rank, name, round(total, 2) AS total FROM (SELECT l_suppkey::VARCHAR AS name, sum({c}) AS total, row_number() OVER (ORDER BY sum({c}) DESC, l_suppkey::VARCHAR) AS rank FROM lineitem GROUP BY l_suppkey) WHERE rank <= 5" for c in ("l_quantity", "l_extendedprice")))
+def metric_rankings(table):
+    return rounded(aggregate.rankings(table("lineitem"), "l_suppkey", ["l_quantity", "l_extendedprice"]), 2)
+
+
+@query("SELECT (row_number() OVER (ORDER BY y DESC, x))::INTEGER AS at, x, round(y, 2) AS y FROM (SELECT p_brand AS x, sum(p_retailprice) AS y FROM part GROUP BY p_brand ORDER BY y DESC, x LIMIT 10)")
+def bar_chart(table):
+    return rounded(aggregate.chart_series(table("part"), "p_brand", "p_retailprice", "bar"), 2)
+
+
+@query("SELECT (row_number() OVER (ORDER BY x))::INTEGER AS at, x, round(y, 2) AS y FROM (SELECT strftime(o_orderdate, '%Y-%m') AS x, sum(o_totalprice) AS y FROM orders GROUP BY x)")
+def line_chart(table):
+    return rounded(aggregate.chart_series(table("orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), "month", "o_totalprice", "line"), 2)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT event_type, ts FROM events WHERE value > 50),
+f AS (SELECT event_type, min(ts) AS fired FROM o GROUP BY event_type
+  UNION ALL SELECT event_type, (SELECT min(ts) FROM o WHERE o.event_type = f.event_type AND o.ts >= f.fired + INTERVAL 300 SECONDS) FROM f WHERE fired IS NOT NULL)
+SELECT event_type, strftime(fired, '%Y-%m-%d %H:%M:%S.%f') AS fired FROM f WHERE fired IS NOT NULL"""
+)
+def cooldown_alerts(table):
+    found = windows.alerts_with_cooldown(table("events"), "ts", "event_type", "value", 50.0)
+    return found.withColumn("fired", F.date_format("fired", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, count(value) AS count FROM events GROUP BY ALL")
+def value_percentiles(table):
+    return rounded(windows.percentiles(table("events"), "ts", "event_type", "value")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, text, string_split(regexp_replace(trim(text), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations),
+n AS (SELECT *, list_transform(parts, lambda p: len(list_filter(string_split_regex(p, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS words FROM s),
+k AS (SELECT *, len(list_filter(range(1, len(parts) + 1), lambda i: list_sum(words[1:i]) <= 20)) AS kept, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS every FROM n)
+SELECT conv_id, turn, CASE WHEN kept > 0 THEN array_to_string(parts[1:kept], ' ') WHEN len(every) > 0 THEN array_to_string(every[1:20], ' ') || '...' ELSE '' END AS answer FROM k""".replace("\\\\", "\\")
+)
+def compressed_answers(table):
+    return table("conversations").select("conv_id", "turn", retrieve.compressed(F.col("text"), 20).alias("answer"))

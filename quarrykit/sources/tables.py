@@ -76,4 +76,5 @@ def upsert_document(spark: SparkSession, chunks: DataFrame, path: str, key: str
 
 
 def delete_document(spark: SparkSession, path: str, value: str, to: str, key: str = "doc_hash") -> None:
-    spark.read.parquet(path).filter(F.col(key) != value).write.partitionBy(key).parquet(to)
+    """All rows but those of one document; rows without a key stay."""
+    spark.read.parquet(path).filter(~F.col(key).eqNullSafe(value)).write.partitionBy(key).parquet(to)

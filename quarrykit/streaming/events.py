@@ -38,6 +38,26 @@ def alerts(events: DataFrame, ts: str, kind: str, value: str, limit: float, cool
     return over.groupBy(F.window(ts, cooldown).alias("w"), kind).agg(F.min(ts).alias("fired"), F.max(value).alias("worst"), F.count("*").alias("count")).select(kind, "fired", "worst", "count")
 
 
+def alerts_with_cooldown(events: DataFrame, ts: str, kind: str, value: str, limit: float, cooldown: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """(kind, fired): an alert when a value passes the limit, and no other of its kind for ``cooldown`` seconds from then on.
+
+    A pause of that length ends a cooldown, so each session of such events stands alone and is gone through in order.
+    """
+    over = late(events, ts, delay).filter(F.col(value) > limit)
+    found = over.groupBy(F.session_window(ts, f"{cooldown} seconds").alias("w"), kind).agg(F.sort_array(F.collect_list(ts)).alias("at"))
+    wait = F.expr(f"INTERVAL {cooldown} SECONDS")
+    none = F.array().cast("array<timestamp>")
+    fired = F.aggregate("at", none, lambda a, t: F.when((F.size(a) == 0) | (t >= F.try_element_at(a, F.lit(-1)) + wait), F.concat(a, F.array(t))).otherwise(a))
+    return found.select(kind, F.explode(fired).alias("fired"))
+
+
+def percentiles(events: DataFrame, ts: str, kind: str, value: str, length: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """(start, kind, p50, p95, p99, count) by window, over what a window holds."""
+    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    found = late(events, ts, delay).groupBy(F.window(ts, length).alias("w"), kind).agg(p.alias("p"), F.count(value).alias("count"))
+    return found.select(F.col("w.start").alias("start"), kind, *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "count")
+
+
 def for_each(out: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Hand each micro-batch of a result to ``handle``; state and offsets live in ``checkpoint``."""
     return out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start()

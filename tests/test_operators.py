@@ -148,3 +148,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_delete_document_keeps_rows_without_key(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "doc_hash string, n int")
+    tables.upsert_document(spark, chunks, f"{tmp_path}/t")
+    tables.delete_document(spark, f"{tmp_path}/t", "a", f"{tmp_path}/u")
+    assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/u").collect()) == [2, 3]
+
+
+def test_cooldown_and_compression(spark):
+    at = [0, 10, 299, 301, 620, 5000, 5299, 5300]
+    rows = [(s, "a", 60.0) for s in at] + [(305, "b", 99.0), (100, "a", 1.0), (200, None, 70.0)]
+    df = spark.createDataFrame(rows, "s long, kind string, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = windows.alerts_with_cooldown(df, "ts", "kind", "v", 50.0).select("kind", F.unix_timestamp("fired").alias("s")).collect()
+    assert sorted((r["kind"] or "", r["s"]) for r in got) == [("", 200), ("a", 0), ("a", 301), ("a", 620), ("a", 5000), ("a", 5300), ("b", 305)]
+    texts = spark.createDataFrame([("One two. Three four five! Six.",), ("a b c d e f g h",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(retrieve.compressed(F.col("t"), 5)).collect()] == ["One two. Three four five!", "a b c d e...", "", ""]
