@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import pieces, table
 
-NGRAM, HASHES, MIN_RATE, MIN_SHARE = 3, 3, 2e-6, 0.05
+NGRAM, MIN_RATE, MIN_SHARE = 3, 2e-6, 0.05
 #: At most about this many labelled texts per language are learned from, chosen by hash.
 SAMPLE = 2000
-#: Bits of slots per language and n-gram, and the largest filter (2 ** 21 slots of 8 bytes).
-SLOTS_PER_GRAM, MOST_SLOT_BITS = 16, 21
+#: Slots of 8 bytes per n-gram of the sample, at least; a filter has 2 ** k of them.
+SLOTS_PER_GRAM = 16
+#: Odd factors, of whose products with an n-gram's hash the highest bits are its slots.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double, coverage double"
 
@@ -82,7 +84,7 @@ class Filter:
         rate = found["n"] / found.groupby("lang")["n"].transform("sum")
         contains = (rate >= MIN_RATE) & (rate >= MIN_SHARE * rate.groupby(found["gram"]).transform("max"))
         kept = found[contains]
-        self.bits = min(MOST_SLOT_BITS, max(10, int(SLOTS_PER_GRAM * max(1, kept["gram"].nunique())).bit_length()))
+        self.bits = max(10, int(SLOTS_PER_GRAM * max(1, kept["gram"].nunique())).bit_length())
         # 64 languages to a plane
         self.planes = np.zeros(((len(langs) + 63) // 64, 1 << self.bits), np.uint64)
         for k, lang in enumerate(langs):
@@ -90,10 +92,10 @@ class Filter:
             for at in self.places(h):
                 self.planes[k // 64][at] |= np.uint64(1 << k % 64)
         full = [np.count_nonzero(self.planes[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / (1 << self.bits) for k in range(len(langs))]
-        self.false = np.array(full) ** HASHES
+        self.false = np.array(full) ** len(FACTORS)
 
     def places(self, h: np.ndarray) -> list[np.ndarray]:
-        return [(h >> np.uint64(21 * i)) & np.uint64((1 << self.bits) - 1) for i in range(HASHES)]
+        return [h * np.uint64(f) >> np.uint64(64 - self.bits) for f in FACTORS]
 
     def counts(self, h: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
         """Per owner the number of n-grams, and of those that each language contains."""
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: Filter | None) -> DataFrame:
     """The columns of ``docs`` (it needs a text) with lang_pred, score and coverage, the share of n-grams that the language has."""
     if model is None:
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("coverage"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** MOST_SLOT_BITS slots at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 32 slots for each n-gram of the bounded sample
 
     @F.pandas_udf(SCHEMA)
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,14 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import LOWER, UPPER, cut, table
+from quarrykit.llm.common import LOWER, UPPER, cut, small, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Second-level labels that belong to the public suffix when the top level has two letters.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: A host is blocked if its bad rate is above THRESHOLD with the certainty that Z stands for.
 THRESHOLD, Z = 0.5, 1.645
-#: Rules are matched as literals in the row; more than this many must be split into several filters.
+#: As many rules at most are matched as literals in the row; more are joined.
 MOST_RULES = 1000
 
 
@@ -88,8 +88,6 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> tuple[Dat
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
     """(rule, verdict) of the longest rule that fits, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; split them into filters of {MOST_RULES} at most")
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2] != "block", r))
     found = F.lit(None).cast("struct<rule:string,said:string>")
     for h, p, verdict in reversed(ordered):
@@ -98,15 +96,35 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return found
 
 
+def rules_joined(urls: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """(host, path, fit) of the urls (host, path) that a rule fits, as ``rule_of`` says, for any number of rules.
+
+    A rule is met by an end of the host and a start of the path as long as some rule of that host's path.
+    """
+    known = urls.sparkSession.createDataFrame(list(rules), "h string, p string, said string")
+    known = cut(known.groupBy("h", "p").agg(F.min_by("said", F.struct(F.col("said") != "block", "said")).alias("said")))
+    lengths = known.groupBy("h").agg(F.collect_set(F.char_length("p")).alias("lengths"))
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    asked = urls.distinct().select("host", "path", F.explode(ends).alias("h")).join(small(lengths), "h")
+    asked = asked.select("host", "path", "h", F.explode("lengths").alias("length")).filter(F.col("length") <= F.char_length("path"))
+    found = asked.select("host", "path", "h", F.substring(F.col("path"), F.lit(1), F.col("length")).alias("p")).join(small(known), ["h", "p"])
+    order = F.struct(-F.char_length("h") - F.char_length("p"), F.col("said") != "block", "h", "p")
+    return found.groupBy("host", "path").agg(F.min_by(F.struct(F.concat("h", "p").alias("rule"), "said"), order).alias("fit"))
+
+
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, bad_rate, bad_bound) for every page."""
     known, base = reputation(pages, outcomes)
     host, path = url_parts(F.col("url"))
     known = known.select(F.col("host").alias("_host"), "rate", "bound")
+    urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    if len(rules) > MOST_RULES:
+        urls = urls.join(small(cut(rules_joined(urls.select("host", "path"), rules))), ["host", "path"], "left")
+    else:
+        urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return (
-        pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-        .join(known, F.col("host") == F.col("_host"), "left")
-        .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+        urls.join(known, F.col("host") == F.col("_host"), "left")
         .select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.said", F.when(F.col("bound") > threshold, "block").otherwise("allow")).alias("verdict"), F.coalesce("rate", F.lit(base)).alias("bad_rate"), F.col("bound").alias("bad_bound"))
     )
 

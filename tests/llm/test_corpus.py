@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -342,6 +343,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_language_filter_grows_with_its_ngrams():
+    rng = np.random.default_rng(5)
+    many = rng.integers(-(2**63), 2**63, 300_000)
+    model = language.Filter(["a", "b"], pd.DataFrame({"lang": ["a"] * 200_000 + ["b"] * 100_000, "gram": many, "n": 2}))
+    assert 16 * 300_000 <= 1 << model.bits <= 32 * 300_000 and model.false.max() < 0.01
+    owner = np.zeros(len(many), np.int64)
+    total, found = model.counts(many.view(np.uint64), owner, 1)
+    assert total[0] == 300_000 and 200_000 <= found[0, 0] < 202_000 and 100_000 <= found[0, 1] < 103_000
+
+
 def test_url_filter(spark):
     urls = ["https://WWW.Example.com/en/x?y#z", "http://example.com/en/1", "http://a.example.com/fr/", "http://x.net/es/", "http://x.net/de/", "http://x.com", "http://bad.org/a", None, "nothing", "http://u@h:1?q", "http://h#f?g", "a#b?c\n://H/p?q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").union(spark.createDataFrame([(100 + i, f"http://bad.org/{i}") for i in range(30)] + [(200 + i, f"http://good{i % 5}.org/{i}") for i in range(60)], "page_id long, url string"))
@@ -355,6 +366,20 @@ def test_url_filter(spark):
     assert len(got) == len(urls) + 90 and url_filter.judge(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_many_url_rules_are_joined_as_literals_fit(spark, monkeypatch):
+    rules = (("com", "/", "allow"), ("com", "/", "block"), ("b.com", "/a/", "allow"), ("a.b.com", "/", "block"), ("net", "", "block"), ("", "/", "allow"), ("x.net", "/é/", "allow"))
+    rules += tuple((f"h{i}.org", f"/{'p' * (i % 7)}/", "block" if i % 3 else "allow") for i in range(40))
+    hosts = ["com", "b.com", "a.b.com", "xcom", "z.a.b.com", "net", "x.net", "dot.", "", *(f"s.h{i}.org" for i in range(0, 40, 3))]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/a/", "/a/b", "/é/x", "/p/", "/pp/q", "/pppp/")] + [None, "none"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(None, urls[0])], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 5)], "page_id long, bad int")
+    want = sorted(map(str, url_filter.judge(pages, outcomes, rules).collect()))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 0)
+    assert sorted(map(str, url_filter.judge(pages, outcomes, rules).collect())) == want and len(want) == 2 * len(urls) + 1
+    assert url_filter.judge(pages.limit(0), outcomes, rules).count() == 0
+    assert url_filter.judge(pages, outcomes, tuple((f"n{i}.org", "/", "block") for i in range(3000))).filter("rule is not null").count() == 0
+
+
 def test_toxicity(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
