@@ -1,20 +1,23 @@
 """Nearest neighbours by vantage-point trees, one per shard of the vectors.
 
-Vectors are hashed to shards of about SHARD; each shard builds a tree over its unit vectors: a node keeps a vantage
-point and the median distance to it, a leaf up to LEAF vectors. Queries come in blocks of about QUERIES; every
-(shard, block) pair is one bounded group. All queries of a block walk the tree together, the nearer child first. The
-farther child is left out when |d - median| * factor > the k-th best distance so far: factor 1 is the triangle
-inequality and exact, larger factors prune more. Every row is indexed. Scores are cosines in double precision of the
-original vectors, summed the same way wherever a pair is met, so equal vectors tie exactly.
+Vectors are hashed to shards of about SHARD; each shard builds one tree over its unit vectors: a node keeps a vantage
+point and the median distance to it, a leaf up to LEAF vectors. Each task reads its shards one after another, a shard's
+vectors before the queries, which stream over the tree in Arrow batches: memory holds one shard and one batch. The
+queries of a batch walk the tree together, the nearer child first. The farther child is left out when
+|d - median| * factor > the k-th best distance so far: factor 1 is the triangle inequality and exact, larger factors
+prune more. Every row is indexed; a vector is shuffled twice, whatever the number of queries, a query once per shard.
+Scores are cosines in double precision of the original vectors, summed the same way wherever a pair is met, so equal
+vectors tie exactly.
 
 Vectors that are null, zero or hold null or non-finite components take no part; vectors are compared with those of
 their length only; rows that repeat a vec_id count once per query, with the best score, and never answer a query of
-the same id; empty tables give empty results.
+the same id: repeats of a whole row are one before they are dealt, other rows of one id are dealt by their vectors;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import table
 
-SHARD, QUERIES_PER_BLOCK, LEAF = 4096, 4096, 64
+SHARD, LEAF = 4096, 64
 K, EVERY, FACTOR = 5, 50, 1.0
 
 
@@ -38,6 +41,7 @@ class Tree:
         self.x, self.ids = vectors[order].astype(np.float64), ids[order]
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
         self.unit, self.leaf = self.x / self.norm[:, None], leaf
+        self.repeats = len(np.unique(self.ids)) < len(ids)
         self.root = self.build(np.arange(len(ids)))
 
     def distance(self, a: np.ndarray, at: int) -> np.ndarray:
@@ -53,7 +57,7 @@ class Tree:
         return (rows,)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-        """The k nearest rows of each query that are not its own id: (query, row, score)."""
+        """The k nearest rows of each query, of k ids that are not its own: (query, row, score)."""
         self.q = queries.astype(np.float64)
         self.q_norm = np.sqrt((self.q * self.q).sum(axis=1))
         self.q_unit, self.own, self.k, self.factor = self.q / self.q_norm[:, None], own, k, factor
@@ -90,6 +94,14 @@ class Tree:
         q = np.concatenate((q, np.repeat(met, self.k)))
         r = np.concatenate((r, self.row[met].ravel()))
         score = np.concatenate((score, self.score[met].ravel()))
+        if self.repeats:  # the best row of an id stands for it
+            order = np.lexsort((-score, self.ids[r], q))
+            q, r, score = q[order], r[order], score[order]
+            first = np.concatenate(([True], (q[1:] != q[:-1]) | (self.ids[r[1:]] != self.ids[r[:-1]])))
+            found = first & (r >= 0)
+            q = np.concatenate((q[found], np.repeat(met, self.k)))
+            r = np.concatenate((r[found], np.full(len(met) * self.k, -1)))
+            score = np.concatenate((score[found], np.full(len(met) * self.k, -np.inf)))
         order = np.lexsort((r, -score, q))  # rows are in the order of ids
         q, r, score = q[order], r[order], score[order]
         first = np.searchsorted(q, met)
@@ -99,22 +111,31 @@ class Tree:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, embedding) its k nearest vectors of another id."""
-    vectors, queries = usable(vectors.select("vec_id", "embedding")), usable(queries.select("vec_id", "embedding"))
-    shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    vectors, queries = (usable(df.select("vec_id", "embedding")).distinct() for df in (vectors, queries))
+    shards = max(1, -(-vectors.count() // SHARD))
     size = F.size("embedding").alias("dims")
-    left = vectors.select("vec_id", "embedding", size, F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.distinct().select("vec_id", "embedding", size, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def search(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(there) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tree = Tree(np.stack(there["embedding"]), there["vec_id"].to_numpy())
-        ids = asked["vec_id"].to_numpy()
-        found = tree.search(np.stack(asked["embedding"]), ids, k, factor)
-        return pd.DataFrame({"query_id": ids[found["query"]], "vec_id": tree.ids[found["row"]], "score": found["score"]})
-
-    keys = ("dims", "shard", "block")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    there = vectors.select("vec_id", "embedding", size, F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"))
+    asked = queries.select("vec_id", "embedding", size, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, tree = None, [], None
+        for batch in batches:
+            for (dims, shard, asks), part in batch.groupby(["dims", "shard", "asks"]):
+                if here != (dims, shard):
+                    here, held, tree = (dims, shard), [], None
+                if not asks:
+                    held.append(part)
+                    continue
+                if held:
+                    whole = pd.concat(held)
+                    held, tree = [], Tree(np.stack(whole["embedding"]), whole["vec_id"].to_numpy())
+                if tree:
+                    ids = part["vec_id"].to_numpy()
+                    found = tree.search(np.stack(part["embedding"]), ids, k, factor)
+                    yield pd.DataFrame({"query_id": ids[found["query"]], "vec_id": tree.ids[found["row"]], "score": found["score"]})
+
+    ordered = there.unionByName(asked).repartition("dims", "shard").sortWithinPartitions("dims", "shard", "asks")
+    met = ordered.mapInPandas(search, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

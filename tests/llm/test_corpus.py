@@ -343,6 +343,42 @@ def test_neighbours(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_neighbours_over_many_shards_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1500, 8)).astype(np.float32)
+    base[200:260] = base[0]  # copies under other ids
+    ids = np.arange(1500)
+    ids[300:340] = 7  # one id with many vectors, some of them near a query's
+    base[300:340] = base[50] + 0.01 * base[300:340]
+    rows = [(int(i), v.tolist(), 1, "clash") for i, v in zip(ids, base, strict=True)]
+    rows += [rows[600]] * 500  # one whole row repeated
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard int, asks string").repartition(5)
+    x = base.astype(float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    want = {}
+    for q in range(0, 1500, 10):
+        if ids[q] != q:
+            continue
+        best = {}
+        for i, s in zip(ids.tolist(), ((x[q] * x).sum(axis=1) / (norm[q] * norm)).tolist(), strict=True):
+            if i != q:
+                best[i] = max(s, best.get(i, -9.0))
+        want[q] = sorted(best, key=lambda i: (-best[i], i))[:5]
+    monkeypatch.setattr(neighbours, "SHARD", 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for factor, least in ((1.0, 1.0), (2.0, 0.9)):
+            got = defaultdict(list)
+            for r in neighbours.nearest(vectors, vectors.filter("vec_id % 10 = 0"), factor=factor).orderBy("query_id", "rank").collect():
+                assert r["rank"] == len(got[r["query_id"]]) + 1
+                got[r["query_id"]].append(r["vec_id"])
+            assert got.keys() == want.keys()
+            assert np.mean([i in got[q] for q in want for i in want[q]]) >= least
+            assert factor > 1 or got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_language_filter_grows_with_its_ngrams():
     rng = np.random.default_rng(5)
     many = rng.integers(-(2**63), 2**63, 300_000)
