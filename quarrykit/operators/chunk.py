@@ -20,6 +20,56 @@ def fixed(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int =
     return cut.select(key, "chunk", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("piece"))
 
 
+def windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Windows of ``size`` characters, cut behind their last full stop if it lies beyond half of them and text follows."""
+    at = 0
+    while at < len(text):
+        stop = text.rfind(".", at, at + size) + 1 - at if at + size < len(text) else 0
+        end = at + (stop if stop - 1 > size / 2 else size)
+        yield text[at:end]
+        at = max(end - overlap, at + 1)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _windows(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
+    return pd.Series([list(windows(t or "", int(n), int(o))) for t, n, o in zip(texts, size, overlap, strict=True)])
+
+
+def sentence_windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(key, chunk, piece): like ``fixed``, but a window ends with a sentence where it can; null and empty texts have none."""
+    return docs.select(key, F.posexplode(_windows(F.col(text), F.lit(size), F.lit(overlap))).alias("chunk", "piece"))
+
+
+def split_table(text: str, tokens: int, spare: int = 50) -> Iterator[str]:
+    """A Markdown table in parts within a token budget, a token being four characters; the header heads each part.
+
+    The header reaches to the rule within the first three lines, else it is the first line; ``spare`` tokens are kept
+    free. No row is dropped: one that alone is over the budget is a part of its own.
+    """
+    lines = text.strip().split("\n")
+    rule = next((i for i, line in enumerate(lines[:3]) if "|" in line and "---" in line), 0)
+    head, rows = "\n".join(lines[: rule + 1]), lines[rule + 1 :]
+    budget, held, used = tokens - len(head) // 4 - spare, [], 0
+    for row in rows:
+        if held and used + len(row) // 4 > budget:
+            yield "\n".join([head, *held])
+            held, used = [], 0
+        held.append(row)
+        used += len(row) // 4
+    if held or text.strip():
+        yield "\n".join([head, *held])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _table_parts(texts: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([list(split_table(t or "", int(n))) for t, n in zip(texts, tokens, strict=True)])
+
+
+def table_parts(tables: DataFrame, key: str, text: str, tokens: int = 2000) -> DataFrame:
+    """(key, part, piece): Markdown tables split by ``split_table``."""
+    return tables.select(key, F.posexplode(_table_parts(F.col(text), F.lit(tokens))).alias("part", "piece"))
+
+
 def split_text(text: str, most: int, overlap: int = 0) -> Iterator[str]:
     """Paragraphs, else sentences, packed up to ``most`` characters; the last part is repeated if it fits the overlap."""
     if len(text) <= most:

@@ -114,6 +114,17 @@ def with_context(chunks: DataFrame, doc: str, order: str, text: str, around: int
     return chunks.withColumn("context", F.array_join(F.collect_list(text).over(frame), separator))
 
 
+def hits_by_document(chunks: DataFrame, hits: DataFrame, doc: str, order: str, text: str, around: int = 2) -> DataFrame:
+    """(doc, hits, best, context): a short list of hits (doc, order, score) by document, in the order of its chunks, each with its neighbours.
+
+    Only the documents that are hit are read into windows.
+    """
+    few = F.broadcast(hits.select(doc, order, "score"))  # the k best of one search
+    found = with_context(chunks.select(doc, order, text).join(few.select(doc).distinct(), doc, "left_semi"), doc, order, text, around, "\n\n").join(few, [doc, order])
+    each = F.array_sort(F.collect_list(F.struct(order, "context")))
+    return found.groupBy(doc).agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.array_join(F.transform(each, lambda x: x["context"]), "\n\n---\n\n").alias("context"))
+
+
 def assemble(hits: DataFrame, order: list[Column], text: str, budget: int = 8000, least: int = 100) -> DataFrame:
     """Hits in order while their lengths fit the budget; the first that does not is cut if enough of it is left. For a short list."""
     before = F.sum(F.length(text)).over(Window.orderBy(*order)) - F.length(text)

@@ -491,3 +491,36 @@ SELECT conv_id, turn, CASE WHEN kept > 0 THEN array_to_string(parts[1:kept], ' '
 )
 def compressed_answers(table):
     return table("conversations").select("conv_id", "turn", retrieve.compressed(F.col("text"), 20).alias("answer"))
+
+
+@query(
+    r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS s FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, chunk + 1, s - 200 + CASE WHEN s + 1000 < length(text) AND length(regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.')) - 1 > 500 THEN length(regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.')) ELSE 1000 END FROM w
+  WHERE s - 200 + CASE WHEN s + 1000 < length(text) AND length(regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.')) - 1 > 500 THEN length(regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.')) ELSE 1000 END < length(text))
+SELECT doc_id, chunk, CASE WHEN s + 1000 < length(text) AND length(regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.')) - 1 > 500 THEN regexp_extract(substr(text, s + 1, 1000), '(?s)^.*\.') ELSE substr(text, s + 1, 1000) END AS piece FROM w"""
+)
+def chunk_sentences(table):
+    return chunk.sentence_windows(table("documents"), "doc_id", "text")
+
+
+@query(
+    f"""WITH RECURSIVE t AS ({ORACLE_SQL["chunk_rows"]}),
+l AS (SELECT bucket, unnest(string_split(body, chr(10))[3:]) AS line, generate_subscripts(string_split(body, chr(10))[3:], 1) AS i, array_to_string(string_split(body, chr(10))[:2], chr(10)) AS head FROM t),
+p AS (SELECT bucket, i, 0 AS part, length(line) // 4 AS used FROM l WHERE i = 1
+  UNION ALL SELECT l.bucket, l.i, CASE WHEN p.used + length(line) // 4 > 200 - length(head) // 4 - 50 THEN part + 1 ELSE part END, CASE WHEN p.used + length(line) // 4 > 200 - length(head) // 4 - 50 THEN 0 ELSE p.used END + length(line) // 4 FROM p JOIN l ON l.bucket = p.bucket AND l.i = p.i + 1)
+SELECT bucket, part, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS piece FROM p JOIN l USING (bucket, i) GROUP BY bucket, part"""
+)
+def table_parts(table):
+    tables = chunk.table_chunks(table("documents"), F.floor(F.col("doc_id") / 50), "doc_id", ["doc_id", "lang", "source"])
+    return chunk.table_parts(tables, "bucket", "body", 200)
+
+
+@query(
+    r"""WITH h AS (SELECT conv_id, turn, length(text) AS score FROM conversations WHERE text IS NOT NULL ORDER BY score DESC, conv_id, turn LIMIT 20),
+c AS (SELECT conv_id, turn, string_agg(text, E'\n\n') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM conversations)
+SELECT conv_id, count(*) AS hits, max(score)::INTEGER AS best, string_agg(context, E'\n\n---\n\n' ORDER BY turn) AS context FROM h JOIN c USING (conv_id, turn) GROUP BY conv_id"""
+)
+def hits_by_document(table):
+    turns = table("conversations")
+    longest = turns.filter("text is not null").select("conv_id", "turn", F.length("text").alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(20)
+    return retrieve.hits_by_document(turns, longest, "conv_id", "turn", "text")

@@ -110,6 +110,17 @@ def test_union(spark):
     assert {r["k"] for r in aggregate.union_tables(a, c).collect()} == {"1", "z"}
 
 
+def test_windows_end_with_sentences_and_tables_keep_their_rows():
+    text = "a" * 70 + "." + "b" * 100
+    assert list(chunk.windows(text, 100, 10)) == [text[:71], text[61:161], text[151:]] and list(chunk.windows("", 100, 10)) == []
+    assert list(chunk.windows("x" * 50 + "." + "y" * 99, 100, 0))[0] == "x" * 50 + "." + "y" * 49  # not beyond half
+    head, rows = "| a |\n| --- |", [f"| {i:030d} |" for i in range(40)]
+    parts = list(chunk.split_table("\n".join([head, *rows]), 100))
+    assert len(parts) > 3 and all(p.startswith(head + "\n") and len(p) // 4 <= 100 for p in parts)
+    assert [line for p in parts for line in p.split("\n")[2:]] == rows
+    assert list(chunk.split_table("", 100)) == [] and list(chunk.split_table("| a |", 100)) == ["| a |"]
+
+
 def test_chunks(spark):
     text = "First one. Second one! " * 60
     parts = list(chunk.split_text(text, 200, 40))
