@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "main_text", "near_dup", "sharding", "language", "archive", "neighbours", "url_filter", "toxicity", "mixing", "phrases", "whitening")
+MODULES = ("decontaminate", "main_text", "near_dup", "sharding", "language", "archive", "neighbours", "url_filter", "toxicity", "mixing", "phrases", "quality", "whitening")
 
 
 def gathered(name: str) -> dict:
