@@ -133,6 +133,20 @@ def assemble(hits: DataFrame, order: list[Column], text: str, budget: int = 8000
     return kept.withColumn(text, F.substring(F.col(text), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))).drop("_before")
 
 
+def hybrid_context(lists: dict[str, tuple[DataFrame, float]], chunks: DataFrame, key: str, doc: str, order: str, text: str, k: int = 10, around: int = 1, budget: int = 8000) -> DataFrame:
+    """(rank, key, doc, order, score, sources, context): ranked lists (key, score) fused, each hit with its neighbours, in order while they fit the budget.
+
+    Of ``chunks`` only the documents of the k hits are put into windows. A hit whose key no chunk has is left out before
+    the budget is spent; context that is cut is the last.
+    """
+    found = F.broadcast(fuse(lists, key, k))  # k rows
+    docs = chunks.join(found, key, "left_semi").select(doc).distinct()
+    near = with_context(chunks.select(key, doc, order, text).join(F.broadcast(docs), doc, "left_semi"), doc, order, text, around)  # k documents at most
+    hits = near.join(found, key).select(key, doc, order, "score", "sources", "context")
+    best = [F.desc("score"), F.asc(key)]
+    return assemble(hits.withColumn("rank", F.row_number().over(Window.orderBy(*best))), best, "context", budget)  # k rows
+
+
 def catalog(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame:
     """Per document: chunks, tokens, mean tokens per chunk, first text."""
     return chunks.groupBy(doc).agg(F.count("*").alias("chunks"), F.sum(F.floor(F.length(text) / 4)).cast("long").alias("tokens"), F.min_by(F.substring(text, 1, 20), F.col(order)).alias("starts"))

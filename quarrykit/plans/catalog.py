@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import hygiene
 from quarrykit.operators import aggregate, chunk, profile, retrieve, trend
+from quarrykit.operators.keyword_index import KeywordIndex
 from quarrykit.plans import router
+from quarrykit.sources.folders import shared_folder
 from quarrykit.streaming import events as windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,3 +527,50 @@ def hits_by_document(table):
     turns = table("conversations")
     longest = turns.filter("text is not null").select("conv_id", "turn", F.length("text").alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(20)
     return retrieve.hits_by_document(turns, longest, "conv_id", "turn", "text")
+
+
+def _index(df: DataFrame, key: str, text: str) -> KeywordIndex:
+    return KeywordIndex(df.sparkSession, f"{shared_folder(df.sparkSession)}/index-{uuid.uuid4().hex}", key, text)
+
+
+@query(ORACLE_SQL["bm25_top10"])
+def bm25_stored(table):
+    docs = table("documents")
+    index, english = _index(docs, "doc_id", "text"), F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.add(docs.filter(english))
+    index.add(docs.filter(~english))
+    return rounded(index.search(_BM25_TERMS).hits, 6)
+
+
+@query(ORACLE_SQL["bm25_top10"].replace("FROM documents", "FROM documents WHERE doc_id % 7 <> 0"))
+def bm25_updated(table):
+    docs = table("documents")
+    index = _index(docs, "doc_id", "text")
+    index.add(docs.filter("doc_id % 2 = 0").withColumn("text", F.lit("replaced below")))
+    index.add(docs.filter("doc_id % 2 <> 0"))
+    index.delete(docs.filter("doc_id % 7 = 0"))
+    index.merge()
+    index.upsert(docs.filter("doc_id % 2 = 0 AND doc_id % 7 <> 0"))
+    return rounded(index.search(_BM25_TERMS).hits, 6)
+
+
+_CHUNKS = f"pieces AS (SELECT doc_id * 1000000 + chunk AS key, doc_id, chunk, piece FROM ({ORACLE_SQL['chunk_fixed']}))"
+_CHUNK_BM25 = _BM25.replace("FROM documents", "FROM pieces").replace("doc_id", "key").replace("lower(text)", "lower(piece)")
+
+
+@query(
+    f"""WITH {_COS}, {_CHUNKS}, {_CHUNK_BM25},
+v AS (SELECT vec_id * 1000000 AS key, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT * FROM c ORDER BY score DESC, vec_id LIMIT 20)),
+k AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS r FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, key LIMIT 20)),
+f AS (SELECT key, coalesce(0.6 / (60 + v.r), 0) + coalesce(0.4 / (60 + k.r), 0) AS score, CASE WHEN v.r IS NULL THEN 'keyword' WHEN k.r IS NULL THEN 'vector' ELSE 'keyword,vector' END AS sources FROM v FULL JOIN k USING (key) ORDER BY score DESC, key LIMIT 10),
+w AS (SELECT key, doc_id, chunk, string_agg(piece, E'\n\n---\n\n') OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM pieces),
+h AS (SELECT *, row_number() OVER o AS rank, 8000 - coalesce(sum(length(context)) OVER (ORDER BY score DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM w JOIN f USING (key) WINDOW o AS (ORDER BY score DESC, key))
+SELECT rank::INTEGER AS rank, key, doc_id, chunk, round(score, 9) AS score, sources, substr(context, 1, greatest(room, 0)::INTEGER) AS context FROM h WHERE room >= length(context) OR room > 100"""
+)
+def hybrid_context(table):
+    pieces = chunk.fixed(table("documents"), "doc_id", "text").withColumn("key", F.col("doc_id") * 1000000 + F.col("chunk"))
+    index = _index(pieces, "key", "piece")
+    index.add(pieces)
+    vector = retrieve.vector_search(table("embeddings"), "embedding", _first_vector(table), "vec_id", 20).select((F.col("vec_id") * 1000000).alias("key"), "score")
+    lists = {"vector": (vector, 0.6), "keyword": (index.search(_BM25_TERMS, 20).hits, 0.4)}
+    return rounded(retrieve.hybrid_context(lists, pieces, "key", "doc_id", "chunk", "piece"), 9)
