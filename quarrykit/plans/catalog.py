@@ -481,6 +481,19 @@ def cooldown_alerts(table):
     return found.withColumn("fired", F.date_format("fired", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type, ts, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+n AS (SELECT event_type, i, least(i + 10, 1 + max(i) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 600 SECONDS FOLLOWING)) AS after FROM e),
+b AS (SELECT event_type, i, after FROM n WHERE i = 1 UNION ALL SELECT n.event_type, n.i, n.after FROM b JOIN n ON n.event_type = b.event_type AND n.i = b.after)
+SELECT b.event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS count, round(sum(value), 2) AS total
+FROM b JOIN e ON e.event_type = b.event_type AND e.i >= b.i AND e.i < b.after GROUP BY b.event_type, b.i"""
+)
+def event_batches(table):
+    found = windows.batches(table("events"), "ts", "event_type", "value", "event_id", 10, 600)
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return found.select("event_type", at("start"), at("last"), "count", F.round("total", 2).alias("total"))
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, count(value) AS count FROM events GROUP BY ALL")
 def value_percentiles(table):
     return rounded(windows.percentiles(table("events"), "ts", "event_type", "value")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.streaming.runs import Rule, runs, stream_runs
+
 
 def stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
@@ -39,16 +41,21 @@ def alerts(events: DataFrame, ts: str, kind: str, value: str, limit: float, cool
 
 
 def alerts_with_cooldown(events: DataFrame, ts: str, kind: str, value: str, limit: float, cooldown: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """(kind, fired): an alert when a value passes the limit, and no other of its kind for ``cooldown`` seconds from then on.
-
-    A pause of that length ends a cooldown, so each session of such events stands alone and is gone through in order.
-    """
-    over = late(events, ts, delay).filter(F.col(value) > limit)
-    found = over.groupBy(F.session_window(ts, f"{cooldown} seconds").alias("w"), kind).agg(F.sort_array(F.collect_list(ts)).alias("at"))
-    wait = F.expr(f"INTERVAL {cooldown} SECONDS")
-    none = F.array().cast("array<timestamp>")
-    fired = F.aggregate("at", none, lambda a, t: F.when((F.size(a) == 0) | (t >= F.try_element_at(a, F.lit(-1)) + wait), F.concat(a, F.array(t))).otherwise(a))
-    return found.select(kind, F.explode(fired).alias("fired"))
+    """(kind, fired): an alert when a value passes the limit, and no other of its kind for ``cooldown`` seconds from then on."""
+    rule = Rule(cooldown * 1_000_000)
+    over = events.filter(F.col(value) > limit).withColumn("_order", F.lit(0))
+    found = stream_runs(over, kind, ts, "_order", value, rule, delay, at_start=True) if events.isStreaming else runs(over, kind, ts, "_order", value, rule)
+    return found.filter("opened").select(F.col("key").alias(kind), F.timestamp_micros("start").alias("fired"))
+
+
+def batches(events: DataFrame, ts: str, kind: str, value: str, order: str, size: int = 10, timeout: float = 0.5, delay: str = "10 minutes") -> DataFrame:
+    """(kind, start, last, count, total): events of a kind in batches, which close with ``size`` events or ``timeout`` seconds after their first."""
+    rule = Rule(int(timeout * 1_000_000), size, closed=True)
+    if events.isStreaming:
+        found = stream_runs(events, kind, ts, order, value, rule, delay, at_start=False)
+    else:
+        found = runs(events, kind, ts, order, value, rule).groupBy("key", "start", "start_order").agg(F.max("last").alias("last"), F.sum("count").alias("count"), F.sum("total").alias("total"))
+    return found.select(F.col("key").alias(kind), F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "count", "total")
 
 
 def percentiles(events: DataFrame, ts: str, kind: str, value: str, length: str = "1 day", delay: str = "10 minutes") -> DataFrame:
