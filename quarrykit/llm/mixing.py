@@ -3,8 +3,8 @@
 Documents are counted by exact token length within each source. A source whose target is above its own size is
 passed over whole as often as it fits; what is left of its budget is filled from the length histogram: an equal
 share of every length, then long documents, up to KNAPSACK words below the budget, and these by a bounded knapsack
-over the documents not used up, exactly if any subset of them allows. Where more than that is left, all documents not
-used up are so long that one of them fits at most, and the longest that does is taken.
+over the documents not used up. If that misses the budget, the knapsack grows; budgets of up to WIDEST words (times what
+all lengths have in common) are fitted as well as any subset can, larger ones as well as a knapsack of that size can.
 Documents are then selected by seeded hash order, as many of each length as the plan says.
 
 Nulls and odd rows: a null text has no words and is never taken; a null source is a source of its own, last in
@@ -26,8 +26,8 @@ from quarrykit.llm.common import WHITE, cut, table, text_hash, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20
-#: Budgets up to this many words are fitted exactly by dynamic programming.
-KNAPSACK = 1 << 16
+#: Words of the dynamic programme at first, and when it misses the budget: so many are fitted exactly.
+KNAPSACK, WIDEST = 1 << 16, 1 << 24
 #: Documents of one source and length are ranked in buckets of about this many.
 BUCKET = 1000
 
@@ -63,22 +63,29 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     )
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSACK) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSACK, widest: int = WIDEST) -> np.ndarray:
     """How many documents of each length to take, so that their words come to ``budget`` as nearly as found.
 
-    ``lengths`` are distinct and positive, ``budget`` is at most their total.
+    ``lengths`` are distinct and positive, ``budget`` is at most their total. If the sum found with a knapsack of ``most``
+    words misses the budget, the knapsack grows until it hits it or holds the whole budget, which is best; only beyond
+    ``widest`` words (after division by what all lengths have in common) a sum below the best one may stay.
     """
-    total = int((lengths * counts).sum())
-    if total <= budget:
+    if not len(lengths) or int((lengths * counts).sum()) <= budget:
         return counts.copy()
-    # an equal share of every length, in whole numbers, but for what the knapsack is to fill
-    bulk = max(0, budget - most)
-    taken = np.array([int(c) * bulk // total for c in counts], dtype=np.int64)
-    rest = budget - int((lengths * taken).sum())
-    best = fill(lengths, counts, taken.copy(), rest, most, most // 2)
-    if int((lengths * best).sum()) < budget and lengths.max() > most // 2:  # a long one may fit if it leaves less for short ones
-        best = max(best, fill(lengths, counts, taken, rest, most, 0), key=lambda t: int((lengths * t).sum()))
-    return best
+    common = int(np.gcd.reduce(lengths))
+    lengths, budget = lengths // common, budget // common
+    total, best, words = int((lengths * counts).sum()), np.zeros_like(counts), lambda t: int((lengths * t).sum())
+    while True:
+        # an equal share of every length, in whole numbers, but for what the knapsack is to fill
+        bulk = max(0, budget - most)
+        share = np.array([int(c) * bulk // total for c in counts], dtype=np.int64)
+        for leave in (most // 2, 0) if bulk else (0,):  # a long one may fit if it leaves less for short ones
+            best = max(best, fill(lengths, counts, share.copy(), budget - words(share), most, leave), key=words)
+            if words(best) == budget:
+                return best
+        if most >= min(budget, widest):
+            return best
+        most = min(16 * most, widest)
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, rest: int, most: int, leave: int) -> np.ndarray:
@@ -93,23 +100,30 @@ def fill(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, rest: int,
         if fits:
             taken[max(fits, key=lambda i: lengths[i])] += 1
         return taken
-    # bounded knapsack: bit s of `reached` says that s words can be had
-    mask, reached, steps = (1 << (rest + 1)) - 1, 1, []
+    return taken + knapsack(lengths, counts - taken, rest)
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
+    """Of each length how many to take for the greatest sum up to ``rest``: a bit and a step number for each sum."""
+    # bit s of `reached` says that s words can be had; by_step[s]: the step, from 1, that first made s
+    mask, reached, steps, by_step = (1 << (rest + 1)) - 1, 1, [], np.zeros(rest + 1, np.int32)
     for i in np.argsort(lengths):
-        spare, lot, length = int(counts[i] - taken[i]), 1, int(lengths[i])
-        while spare > 0 and length <= rest and not reached >> rest & 1:
+        spare, lot, length = int(counts[i]), 1, int(lengths[i])
+        while spare > 0 and length <= rest and reached.bit_length() <= rest:
             lot = min(lot, spare, max(1, rest // length))
             new = (reached << lot * length) & mask & ~reached
             if not new:
                 break
-            steps.append((i, lot, new))
+            steps.append((i, lot))
+            at = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+            by_step[np.flatnonzero(at)] = len(steps)
             reached |= new
             spare, lot = spare - lot, lot * 2
-    best = reached.bit_length() - 1
-    for i, lot, new in reversed(steps):
-        if new >> best & 1:
-            taken[i] += lot
-            best -= lot * int(lengths[i])
+    best, taken = reached.bit_length() - 1, np.zeros_like(counts)
+    while best:  # a sum was made from one that an earlier step had made
+        i, lot = steps[by_step[best] - 1]
+        taken[i] += lot
+        best -= lot * int(lengths[i])
     return taken
 
 

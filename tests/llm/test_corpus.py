@@ -503,6 +503,36 @@ def test_fit_takes_very_long_documents(lengths, counts, budget, best):
     assert (taken <= counts).all() and int((lengths * taken).sum()) == best
 
 
+@pytest.mark.parametrize("lengths, counts, budget", [([24_410, 196_206], [2, 1], 199_821), ([143_586, 171_896], [3, 2], 445_023), ([6, 10, 14], [9, 9, 9], 203)])
+def test_fit_misses_nothing(lengths, counts, budget):
+    assert_best(np.array(lengths), np.array(counts), budget)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fit_is_best_for_long_documents(seed):
+    """Random lengths up to 200,000 words, budgets up to a million."""
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, [20, 2000, 20_000, 200_000][seed % 4], 10)).astype(np.int64)
+    counts = rng.integers(1, 7, len(lengths))
+    assert_best(lengths, counts, int(rng.integers(1, min(10**6, int((lengths * counts).sum())) + 1)))
+
+
+def assert_best(lengths, counts, budget):
+    reach = 1  # bit s: s words can be had
+    for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+        for _ in range(c):
+            reach |= reach << n
+    taken = mixing.fit(lengths, counts, budget)
+    assert (0 <= taken).all() and (taken <= counts).all()
+    assert int((lengths * taken).sum()) == (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_fit_beyond_the_widest_knapsack():
+    """Many lengths hit a budget that no knapsack holds."""
+    lengths, counts = np.arange(1, 4000), np.full(3999, 3000)
+    assert int((lengths * mixing.fit(lengths, counts, 10**9 + 7)).sum()) == 10**9 + 7
+
+
 def test_repeated_rows_become_the_first(spark):
     rows = [(1, "a b c", "en", "y"), (1, "a b c", "en", "x"), (1, "a b c", None, "y"), (2, "d e f", "en", "x"), (None, "a g", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
