@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.quantiles import quantiles
+
 #: Aggregates by name.
 FUNCTIONS = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "nunique": F.count_distinct}
 
@@ -15,7 +17,11 @@ def group_agg(df: DataFrame, key: str, value: str, function: str = "sum") -> Dat
     """(key, value): rows without key are left out; an unknown function or column is an error."""
     if function not in FUNCTIONS:
         raise ValueError(f"unknown aggregate {function}; known: {', '.join(sorted(FUNCTIONS))}")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(FUNCTIONS[function](value).alias(value))
+    df = df.filter(F.col(key).isNotNull())
+    if function == "median":  # the built-in holds all values of a group
+        found = quantiles(df.select(F.col(key).alias("_key"), F.col(value).alias("_value")), ["_key"], "_value", [0.5])
+        return df.select(key).distinct().join(found, F.col(key) == F.col("_key"), "left").select(key, F.col("quantiles")[0].alias(value))
+    return df.groupBy(key).agg(FUNCTIONS[function](value).alias(value))
 
 
 def group_summary(df: DataFrame, key: str, value: str, n: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrykit.functions.hygiene import unit_of
+from quarrykit.operators.quantiles import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -25,8 +26,8 @@ def unpivoted(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: count, distinct, min, max, mean, median, std (null for one row), sum, unit.
 
-    Moments are one plain aggregate. Distinct values and median come from counts by value, which combine before the
-    shuffle, so that neither a distinct expansion nor a sort of all values is needed.
+    Moments are one plain aggregate. Distinct values come from counts by value, which combine before the shuffle, medians
+    from ranks narrowed down in rounds, so that no task holds all values of a column.
     """
     columns = columns or numeric_columns(df)
     found = {"non_null": F.count, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
@@ -35,8 +36,9 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     rows = [F.struct(F.lit(c).alias("name"), (F.col("rows") - F.col(f"non_null_{i}")).alias("nulls"), *[F.col(f"{n}_{i}").alias(n) for n in found], unit[i]) for i, c in enumerate(columns)]
     moments = one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     by_value = unpivoted(df, columns, "double").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
-    values = by_value.groupBy("name").agg(F.count("*").alias("distinct"), F.percentile("value", 0.5, F.col("n")).alias("median"))
-    return moments.join(values, "name", "left").select("name", "non_null", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "mean", "median", "std", "sum", "unit")
+    values = by_value.groupBy("name").agg(F.count("*").alias("distinct"))
+    medians = quantiles(unpivoted(df, columns, "double"), ["name"], "value", [0.5]).select("name", F.col("quantiles")[0].alias("median"))
+    return moments.join(F.broadcast(values), "name", "left").join(F.broadcast(medians), "name", "left").select("name", "non_null", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "mean", "median", "std", "sum", "unit")
 
 
 def completeness(df: DataFrame) -> DataFrame:

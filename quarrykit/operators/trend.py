@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.quantiles import quantiles
+
 
 def positioned(df: DataFrame, ts: str, tiebreak: str, unit: str = "day") -> DataFrame:
     """``pos`` from 0 in the order of (ts, tiebreak): rows are ranked within their day, days by running count."""
@@ -41,10 +43,12 @@ def trend_thirds(df: DataFrame, ts: str, value: str, tiebreak: str, threshold: f
 def outliers_iqr(df: DataFrame, value: str, key: str, approximate: bool = False, keep: int = 5, least: int = 10) -> DataFrame:
     """Bounds at 1.5 interquartile ranges, how many values lie outside, and the first of them by key.
 
-    Exact quartiles keep each distinct value; ``approximate`` bounds that for very large tables.
+    Exact quartiles take some passes over large tables; ``approximate`` takes one.
     """
-    quartiles = F.percentile_approx(value, [0.25, 0.75], 10_000) if approximate else F.percentile(value, [0.25, 0.75])
-    n, q = df.agg(F.count(value), quartiles).first()
+    if approximate:
+        n, q = df.agg(F.count(value), F.percentile_approx(value, [0.25, 0.75], 10_000)).first()
+    else:
+        n, q = quantiles(df, [], value, [0.25, 0.75]).first() or (0, None)
     if n < least:
         return df.select(F.lit(0).cast("long").alias("n_outliers"), F.lit(0.0).alias("pct"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit("").alias("first_values")).limit(0)
     low, high = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.operators.quantiles import quantiles
 from quarrykit.streaming.runs import Rule, runs, stream_runs
 
 
@@ -59,10 +60,16 @@ def batches(events: DataFrame, ts: str, kind: str, value: str, order: str, size:
 
 
 def percentiles(events: DataFrame, ts: str, kind: str, value: str, length: str = "1 day", delay: str = "10 minutes") -> DataFrame:
-    """(start, kind, p50, p95, p99, count) by window, over what a window holds."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    found = late(events, ts, delay).groupBy(F.window(ts, length).alias("w"), kind).agg(p.alias("p"), F.count(value).alias("count"))
-    return found.select(F.col("w.start").alias("start"), kind, *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "count")
+    """(start, kind, p50, p95, p99, count) by window: exact for a static table, from a sketch of bounded size on a stream."""
+    at, window = [0.5, 0.95, 0.99], F.window(ts, length)
+    if events.isStreaming:
+        p = F.percentile_approx(value, at, 10_000)
+        found = late(events, ts, delay).groupBy(window.alias("w"), kind).agg(p.alias("p"), F.count(value).alias("count")).select(F.col("w.start").alias("start"), kind, "p", "count")
+    else:
+        placed = events.withColumn("start", window["start"])
+        empty = placed.groupBy("start", kind).agg(F.count(value).alias("count")).filter("count = 0").select("start", kind, F.lit(None).cast("array<double>").alias("p"), "count")
+        found = quantiles(placed, ["start", kind], value, at).select("start", kind, F.col("quantiles").alias("p"), F.col("n").alias("count")).unionByName(empty)
+    return found.select("start", kind, *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "count")
 
 
 def for_each(out: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
