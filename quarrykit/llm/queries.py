@@ -1,19 +1,15 @@
-"""The registered queries of this subpackage, gathered from its modules."""
+"""The registered queries of this subpackage, gathered from its modules. All are imported here, so that one that fails does so at once."""
 
 from __future__ import annotations
 
-from importlib import import_module
+from quarrykit.llm import archive, decontaminate, language, main_text, mixing, near_dup, neighbours, phrases, quality, sharding, toxicity, url_filter, whitening
 
-MODULES = ("decontaminate", "main_text", "near_dup", "sharding", "language", "archive", "neighbours", "url_filter", "toxicity", "mixing", "phrases", "quality", "whitening")
-
-
-def gathered(name: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"quarrykit.llm.{m}"), name).items()}
+MODULES = (decontaminate, main_text, near_dup, sharding, language, archive, neighbours, url_filter, toxicity, mixing, phrases, quality, whitening)
 
 
 def queries() -> dict:
-    return gathered("QUERIES")
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return gathered("ORACLE_SQL")
+    return {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
