@@ -2,12 +2,13 @@
 
 A page is cut into blocks at block tags. The first pass judges each block by itself: text in boilerplate containers
 (by tag, role, class or id) and link-dense text is bad; long text with enough stop words is good; short text is left
-open. A container's class or id must be a name as a whole, and where the name is all there is against it, articles and
-long text with many stop words inside it stay. The second pass gives open blocks the label of their nearest decided neighbours: that of both if they agree,
-else that of the nearer one; on a page without any decided block they are good. Where a page has an article or main
-element, what stands outside is not main text. Inside, blocks without stop words
-are open and others judged as anywhere; the element's edges are good
-neighbours of its open blocks, and containers of boilerplate in it, such as an advert, are none.
+open. How many stop words are enough depends on the page: where its long blocks hold few, as in a language not listed,
+fewer do, and where no block is good the longest open ones are. A container's class or id must be a name as a whole, and
+where the name is all there is against it, articles and long text with many stop words inside it stay. The second pass
+gives open blocks the label of their nearest decided neighbours: that of both if they agree, else that of the nearer one;
+on a page without any decided block they are good. What boilerplate containers hold, such as an advert, is no neighbour.
+Where a page has an article or main element, what stands outside is not main text. Inside, blocks without stop words are
+open and others judged as anywhere; the element's edge is a good neighbour where the decided block next to it is good.
 
 Null and empty pages give an empty text. Character references are decoded, white space in a block becomes one space,
 blocks are joined by a newline; nothing else is dropped or cut. Repeated rows are judged each.
@@ -133,36 +134,59 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
     return found
 
 
-def first_pass(block: tuple[str, float, int, int], has_article: bool) -> bool | None:
-    """Good, bad or open (None)."""
-    text, links, enclosed, article = block
-    if enclosed == 2 or (has_article and not article) or links > LINKS or (enclosed and len(text) <= LONG):
-        return False
-    if len(text) <= SHORT:
-        return None
+def density(text: str) -> float:
+    """Share of stop words."""
     tokens = WORD.findall(text.lower())
-    density = sum(t in STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
-    if enclosed:
-        return density >= STOP_HIGH
-    if density >= (STOP_LOW if len(text) > LONG else STOP_HIGH):
-        return True
-    return None if article or density > 0 else False  # articles hold tables and lists without stop words
+    return sum(t in STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
+
+
+def usual_density(found: list[tuple[str, float, int, int]], densities: list[float]) -> float:
+    """That of a page's long plain blocks together: text in a language or wording of few known stop words is judged by its own."""
+    long = [(len(b[0]), d) for b, d in zip(found, densities, strict=True) if not b[2] and b[1] <= LINKS and len(b[0]) > SHORT]
+    return sum(n * d for n, d in long) / sum(n for n, _ in long) if long else 0.0
+
+
+def first_pass(found: list[tuple[str, float, int, int]]) -> list[bool | None]:
+    """Good, bad or open (None) for each block."""
+    has_article = any(b[3] and b[2] < 2 for b in found)
+    densities = [density(b[0]) for b in found]
+    usual = usual_density(found, densities)
+    low, high = min(STOP_LOW, usual), min(STOP_HIGH, 2 * usual)
+
+    def judged(block: tuple[str, float, int, int], dense: float) -> bool | None:
+        text, links, enclosed, article = block
+        if enclosed == 2 or (has_article and not article) or links > LINKS or (enclosed and len(text) <= LONG):
+            return False
+        if len(text) <= SHORT:
+            return None
+        if enclosed:
+            return dense >= STOP_HIGH
+        if usual and dense >= (low if len(text) > LONG else high):
+            return True
+        # articles hold tables and lists without stop words, and where there are hardly any they tell nothing
+        return None if article or dense > 0 or usual < STOP_LOW / 2 else False
+
+    labels = [judged(b, d) for b, d in zip(found, densities, strict=True)]
+    if True not in labels:  # the longest open text is what the page is about
+        most = max((len(b[0]) for b, label in zip(found, labels, strict=True) if label is None), default=0)
+        labels = [True if label is None and 2 * len(b[0]) >= most > SHORT else label for b, label in zip(found, labels, strict=True)]
+    return labels
 
 
 def second_pass(labels: list[bool | None], found: list[tuple[str, float, int, int]]) -> list[bool]:
     """Open blocks take the label of the nearest decided neighbour of their own article (or page), good ones first.
 
-    The edges of an article are good neighbours. Containers of boilerplate in it are no neighbours.
+    What containers of boilerplate hold is no neighbour. An article's edge is a good one if the decided block next to it is.
     """
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(found):
-        if not (b[2] and b[3]) or labels[i]:
+        if not b[2] or labels[i]:
             groups.setdefault(b[3], []).append(i)
     out = [bool(label) for label in labels]
     for article, group in groups.items():
         decided = [(at, labels[i]) for at, i in enumerate(group) if labels[i] is not None]
-        if article:
-            decided = [(-1, True), *decided, (len(group), True)]
+        if article and decided:
+            decided = [(-1, True)] * decided[0][1] + decided + [(len(group), True)] * decided[-1][1]
         after = 0
         for at, i in enumerate(group):
             while after < len(decided) and decided[after][0] < at:
@@ -175,9 +199,7 @@ def second_pass(labels: list[bool | None], found: list[tuple[str, float, int, in
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    has_article = any(b[3] and b[2] < 2 for b in found)
-    labels = [first_pass(b, has_article) for b in found]
-    return "\n".join(b[0] for b, good in zip(found, second_pass(labels, found), strict=True) if good)
+    return "\n".join(b[0] for b, good in zip(found, second_pass(first_pass(found), found), strict=True) if good)
 
 
 @F.pandas_udf(T.StringType())

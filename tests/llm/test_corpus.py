@@ -104,6 +104,49 @@ def test_main_text_judges_blocks_inside_an_article():
     assert main_text.main_text(page.replace("main>", "div>")) == main_text.main_text(page)
 
 
+@pytest.fixture(scope="module")
+def plain_pages(spark):
+    """(main text, page with its article as a div, page without any telling tag or name) of the given pages."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    as_div = lambda p, tags: re.sub(rf"(</?)(?:{tags})\b", r"\1div", p)
+    return [(main_text.main_text(p), as_div(p, "article"), as_div(p, "article|nav|footer").replace(' class="ad"', "")) for p in pages]
+
+
+def test_main_text_without_articles(plain_pages):
+    got = [(want, main_text.main_text(p)) for want, p, _ in plain_pages]
+    assert sum(a == b for a, b in got) >= 0.9 * len(got) and all(b for a, b in got if a)
+
+
+def test_main_text_needs_both_passes(plain_pages, monkeypatch):
+    """On pages without telling tags or names, links go by the first pass and short text stays by the second."""
+    menus = lambda: sum(re.search("<li><a[^>]*>(.*?)</a>", p)[1] not in main_text.main_text(p).split("\n") for _, _, p in plain_pages)
+    whole = lambda: sum(set(want.split("\n")) <= set(main_text.main_text(p).split("\n")) for want, _, p in plain_pages)
+    n = len(plain_pages)
+    assert menus() > 0.95 * n and whole() > 0.9 * n
+    with monkeypatch.context() as m:
+        m.setattr(main_text, "first_pass", lambda found: [None] * len(found))
+        assert menus() < 0.1 * n
+    with monkeypatch.context() as m:
+        m.setattr(main_text, "second_pass", lambda labels, _: [bool(label) for label in labels])
+        assert whole() < 0.5 * n
+
+
+def test_main_text_of_odd_pages(spark):
+    """No rows, repeated rows, very long pages, columns of clashing names."""
+    long = "<p>" + PROSE * 4000 + "</p>"
+    rows = [(1, "u", long, "x", 7), (1, "u", long, "x", 7), (2, None, None, "x", 7), (None, "u", "<nav>a</nav>", "x", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = main_text.extract(pages).collect()
+    assert [len(r["text"]) for r in got] == [len((PROSE * 4000).strip())] * 2 + [0, 0]
+    assert main_text.extract(pages.limit(0)).collect() == []
+
+
+def test_main_text_in_a_language_without_known_stop_words():
+    words = "lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua " * 4
+    page = f"<div><p><a href=x>Foo bar</a> <a href=y>Baz</a></p></div><div><h2>Caput</h2><p>{words}</p><p>Brevis.</p><p>{words}</p></div>"
+    assert main_text.main_text(page) == f"Caput\n{words.strip()}\nBrevis.\n{words.strip()}"
+
+
 @pytest.mark.parametrize("name", ["layout has-sidebar", "content with-sidebar", "no-footer", "comments-open", "social-share-enabled", "content-sidebar"])
 def test_main_text_under_a_wrapper_with_a_modifier(name):
     prose = PROSE.strip()
