@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,11 +63,15 @@ def structure_hash(text: Column) -> Column:
     return F.substring(F.md5(F.concat(first, F.lit(":"), F.length(text).cast("string"))), 1, 16)
 
 
+#: What is noise as a whole, in lower case, and characters below which any text is.
+NOISE = (r"^page\s*\d+(\s*(of|/)?\s*\d+)?$", r"^[\s\-=_]{5,}$", r"^(published|confidential|proprietary)\s*(published|confidential|proprietary)?$")
+LEAST = 10
+
+
 def is_noise(text: Column) -> Column:
     """Empty or very short text, page numbers, separators, classification marks."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    low = F.lower(t)
-    return (F.length(t) < 10) | low.rlike(r"^page\s*\d+(\s*(of|/)?\s*\d+)?$") | t.rlike(r"^[\s\-=_]{5,}$") | low.rlike(r"^(published|confidential|proprietary)\s*(published|confidential|proprietary)?$")
+    t = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")))
+    return reduce(Column.__or__, [t.rlike(p) for p in NOISE], F.length(t) < LEAST)
 
 
 def is_table(text: Column) -> Column:

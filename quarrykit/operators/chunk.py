@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from quarrykit.functions.hygiene import chunk_hash
+from quarrykit.functions.hygiene import LEAST, NOISE, chunk_hash
 
 
 def fixed(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -70,21 +73,50 @@ def table_parts(tables: DataFrame, key: str, text: str, tokens: int = 2000) -> D
     return tables.select(key, F.posexplode(_table_parts(F.col(text), F.lit(tokens))).alias("part", "piece"))
 
 
-def split_text(text: str, most: int, overlap: int = 0) -> Iterator[str]:
-    """Paragraphs, else sentences, packed up to ``most`` characters; the last part is repeated if it fits the overlap."""
-    if len(text) <= most:
-        if text.strip():
-            yield text.strip()
-        return
+def noise(text: str) -> bool:
+    """What ``hygiene.is_noise`` says, for one text."""
+    text = text.strip().lower()
+    return len(text) < LEAST or any(re.search(p, text) for p in NOISE)
+
+
+def table_like(text: str) -> bool:
+    """What ``hygiene.is_table`` says, for one text."""
+    lines = text.split("\n")
+    return sum(line.count("|") > 1 for line in lines) > 1 and any(re.match(r"\|\s*-+\s*\|", line) for line in lines)
+
+
+def packed(parts: Iterable[str], tokens: int, joint: str, overlap: int = 0) -> Iterator[str]:
+    """Parts joined while their tokens fit; the last of a full chunk, if it fits the overlap, begins the next one too."""
     held: list[str] = []
-    for part in (s.strip() for p in text.split("\n\n") for s in ([p] if len(p) <= most else re.split(r"(?<=[.!?])\s+", p))):
-        if held and sum(map(len, held)) + len(held) + len(part) > most:
-            yield "\n".join(held)
-            held = held[-1:] if len(held[-1]) <= overlap and len(held[-1]) + 1 + len(part) <= most else []
-        if part:
-            held.append(part)
+    for part in parts:
+        if held and sum(len(p) // 4 for p in held) + len(part) // 4 > tokens:
+            yield joint.join(held)
+            held = held[-1:] if overlap and len(held[-1]) // 4 <= overlap else []
+        held.append(part)
     if held:
-        yield "\n".join(held)
+        yield joint.join(held)
+
+
+def split_text(text: str, tokens: int, overlap: int = 0) -> Iterator[str]:
+    """A text in chunks within a budget of tokens, four characters each: whole if it fits, tables by rows, else by paragraphs.
+
+    Paragraphs are packed together, and those over the budget by sentences, apart from their neighbours; one sentence may
+    be over it. Paragraphs that are noise are left out, and so is a text that is noise as a whole.
+    """
+    if len(text) // 4 <= tokens:
+        if not noise(text):
+            yield text
+        return
+    if table_like(text):
+        yield from split_table(text, tokens)
+        return
+    paragraphs = [p for p in map(str.strip, re.split(r"\n\n+", text)) if not noise(p)]
+    for long, together in groupby(paragraphs, key=lambda p: len(p) // 4 > tokens):
+        if long:
+            for p in together:
+                yield from packed(filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", p))), tokens, " ")
+        else:
+            yield from packed(together, tokens, "\n\n", overlap)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -94,10 +126,54 @@ def _split(texts: pd.Series, most: pd.Series, overlap: pd.Series) -> pd.Series:
 
 def budgeted(docs: DataFrame, key: str, text: str, tokens: int = 500, overlap: int = 50) -> DataFrame:
     """(key, chunk, piece, hash) within a token budget, a token being four characters."""
-    parts = F.posexplode(_split(F.col(text), F.lit(4 * tokens), F.lit(4 * overlap))).alias("chunk", "piece")
+    parts = F.posexplode(_split(F.col(text), F.lit(tokens), F.lit(overlap))).alias("chunk", "piece")
     return docs.select(key, parts).withColumn("hash", chunk_hash(F.col("piece")))
 
 
+class DocumentChunks:
+    """Table function over the parts of documents (doc, place, kind, text), a call for each document, its parts in order.
+
+    Kinds in order are statistics, table and text, whatever their places. Tables are split by rows, texts by
+    ``split_text``; noise is left out. A text that stood in the document before is left out, a table only if it is of
+    fewer than BRIEF tokens, so that rows are never lost. Chunks are numbered from 0 as they come.
+    """
+
+    BRIEF = 100
+    KINDS = ("statistics", "table", "text")
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+        self.number = 0
+
+    @staticmethod
+    def analyze(parts: AnalyzeArgument, tokens: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        fields = {f.name: f.dataType for f in parts.dataType.fields}
+        if set(fields) != {"doc", "place", "rank", "kind", "text"}:
+            raise ValueError("parts have the columns doc, place, rank, kind and text")
+        schema = T.StructType().add("doc", fields["doc"]).add("chunk", T.IntegerType()).add("kind", T.StringType()).add("text", T.StringType()).add("hash", T.StringType()).add("tokens", T.IntegerType())
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("doc")], orderBy=[OrderingColumn("rank"), OrderingColumn("place"), OrderingColumn("text")])
+
+    def eval(self, part: T.Row, tokens: int, overlap: int) -> Iterator[tuple]:
+        kind, text = part["kind"], part["text"] or ""
+        pieces = [text] if kind == "statistics" else split_text(text, tokens, overlap) if kind == "text" else split_table(text, tokens)
+        for piece in pieces:
+            mark, size = hashlib.sha256(piece.encode("utf-8", "replace")).hexdigest()[:16], len(piece) // 4
+            said_before = mark in self.seen and (kind == "text" or size < self.BRIEF)
+            if not piece or kind != "statistics" and (said_before or kind == "table" and noise(piece)):
+                continue
+            if kind != "statistics":
+                self.seen.add(mark)
+            yield part["doc"], self.number, "table" if kind == "text" and table_like(piece) else kind, piece, mark, size
+            self.number += 1
+
+
+def document_chunks(parts: DataFrame, tokens: int = 2000, overlap: int = 50) -> DataFrame:
+    """(doc, chunk, kind, text, hash, tokens) of documents given as parts (doc, place, kind, text); see DocumentChunks."""
+    kinds = F.array(*[F.lit(k) for k in DocumentChunks.KINDS])
+    ranked = parts.select("doc", "place", F.array_position(kinds, F.col("kind")).alias("rank"), "kind", "text").filter("rank > 0")
+    return F.udtf(DocumentChunks)(ranked.asTable(), F.lit(tokens), F.lit(overlap))
+
+
 def first_of_each(chunks: DataFrame, key: str, order: str) -> DataFrame:
     """One row per hash, the first by (key, order); aggregated before the shuffle."""
     rest = [c for c in chunks.columns if c != "hash"]

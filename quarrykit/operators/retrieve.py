@@ -65,9 +65,9 @@ def best_per_group(vectors: DataFrame, column: str, query: list[float], group: s
 
 
 def compressed(answer: Column, words: int = 150) -> Column:
-    """Whole sentences while they fit the number of words; if not even the first does, its words and '...'."""
+    """Answers of more words: whole sentences while they fit; if not even the first does, its words and '...'. Others as they are, null as empty."""
     count = lambda s: F.size(F.array_remove(F.split(s, r"[ \t\n\x0B\f\r]+"), ""))
-    parts = F.split(F.trim(answer), r"(?<=[.!?])\s+")
+    parts = F.split(answer, r"(?<=[.!?])\s+")
     start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
 
     def step(a: Column, s: Column) -> Column:
@@ -76,7 +76,7 @@ def compressed(answer: Column, words: int = 150) -> Column:
 
     kept = F.aggregate(parts, start, step)["kept"]
     head = F.array_join(F.slice(F.array_remove(F.split(answer, r"[ \t\n\x0B\f\r]+"), ""), 1, words), " ")
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).when(count(answer) > 0, F.concat(head, F.lit("..."))).otherwise("")
+    return F.when(answer.isNull(), "").when(count(answer) <= words, answer).when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.concat(head, F.lit("...")))
 
 
 def cosine(vector: Column, query: list[float]) -> Column:

@@ -241,7 +241,28 @@ def chunk_fixed(table):
     return chunk.fixed(table("documents"), "doc_id", "text")
 
 
-@query()
+_NOISE = "(length(trim({0}, E' \\t\\n\\r\\f\\v')) < 10 OR " + " OR ".join(f"regexp_matches(lower(trim({{0}}, E' \\t\\n\\r\\f\\v')), '{p}')" for p in (r"^page\s*\d+(\s*(of|/)?\s*\d+)?$", r"^[\s\-=_]{{5,}}$", r"^(published|confidential|proprietary)\s*(published|confidential|proprietary)?$")) + ")"
+
+
+def _split_sql(source: str, tokens: int, overlap: int) -> str:
+    """CTEs that end in ``chunks`` (key, n, piece): the texts of ``source`` (key, text), none a table, split by paragraphs and sentences."""
+    same = f"p.used + n.tok <= {tokens} AND (CASE WHEN n.long THEN p.long AND p.i = n.i ELSE NOT p.long END)"
+    carried = f"NOT ({same}) AND NOT n.long AND NOT p.long AND p.tok <= {overlap}"
+    return (
+        f"src AS ({source}),\n"
+        rf"para AS (SELECT key, i, trim(p, E' \t\n\r\f\v') AS p FROM (SELECT key, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT key, string_split_regex(text, '\n\n+') AS l FROM src WHERE length(text) // 4 > {tokens})) WHERE NOT {_NOISE.format('p')}),"
+        rf"""
+sent AS (SELECT key, i, length(p) // 4 > {tokens} AS long, CASE WHEN length(p) // 4 > {tokens} THEN list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r\f\v')), lambda x: x <> '') ELSE [p] END AS l FROM para),
+num AS (SELECT key, i, long, t, length(t) // 4 AS tok, row_number() OVER (PARTITION BY key ORDER BY i, j) AS r FROM (SELECT key, i, long, unnest(l) AS t, generate_subscripts(l, 1) AS j FROM sent)),
+rec AS (SELECT key, r, i, long, t, tok, 0 AS n, tok AS used, '' AS before FROM num WHERE r = 1
+ UNION ALL SELECT n.key, n.r, n.i, n.long, n.t, n.tok, CASE WHEN {same} THEN p.n ELSE p.n + 1 END, CASE WHEN {same} THEN p.used + n.tok WHEN {carried} THEN p.tok + n.tok ELSE n.tok END, CASE WHEN {carried} THEN p.t || chr(10) || chr(10) ELSE '' END
+ FROM rec p JOIN num n ON n.key = p.key AND n.r = p.r + 1),
+chunks AS (SELECT key, n, CASE WHEN any_value(long) THEN string_agg(t, ' ' ORDER BY r) ELSE string_agg(before || t, chr(10) || chr(10) ORDER BY r) END AS piece FROM rec GROUP BY key, n
+ UNION ALL SELECT key, 0, text FROM src WHERE length(text) // 4 <= {tokens} AND NOT {_NOISE.format("text")})"""
+    )
+
+
+@query(f"WITH RECURSIVE {_split_sql('SELECT doc_id AS key, text FROM documents', 500, 50)} SELECT key AS doc_id, n::INTEGER AS chunk, piece, substr(sha256(piece), 1, 16) AS hash FROM chunks")
 def chunk_budgeted(table):
     return chunk.budgeted(table("documents"), "doc_id", "text", 500, 50)
 
@@ -500,10 +521,10 @@ def value_percentiles(table):
 
 
 @query(
-    r"""WITH s AS (SELECT conv_id, turn, text, string_split(regexp_replace(trim(text), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations),
+    r"""WITH s AS (SELECT conv_id, turn, text, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations),
 n AS (SELECT *, list_transform(parts, lambda p: len(list_filter(string_split_regex(p, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS words FROM s),
 k AS (SELECT *, len(list_filter(range(1, len(parts) + 1), lambda i: list_sum(words[1:i]) <= 20)) AS kept, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS every FROM n)
-SELECT conv_id, turn, CASE WHEN kept > 0 THEN array_to_string(parts[1:kept], ' ') WHEN len(every) > 0 THEN array_to_string(every[1:20], ' ') || '...' ELSE '' END AS answer FROM k""".replace("\\\\", "\\")
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN '' WHEN len(every) <= 20 THEN text WHEN kept > 0 THEN array_to_string(parts[1:kept], ' ') ELSE array_to_string(every[1:20], ' ') || '...' END AS answer FROM k""".replace("\\\\", "\\")
 )
 def compressed_answers(table):
     return table("conversations").select("conv_id", "turn", retrieve.compressed(F.col("text"), 20).alias("answer"))
@@ -519,13 +540,17 @@ def chunk_sentences(table):
     return chunk.sentence_windows(table("documents"), "doc_id", "text")
 
 
-@query(
-    f"""WITH RECURSIVE t AS ({ORACLE_SQL["chunk_rows"]}),
+def _table_sql(tables: str, tokens: int) -> str:
+    """CTEs that end in ``parts`` (bucket, part, piece): the Markdown tables of ``tables`` (bucket, body) split by rows."""
+    over = f"p.used + length(line) // 4 > {tokens} - length(head) // 4 - 50"
+    return f"""t AS ({tables}),
 l AS (SELECT bucket, unnest(string_split(body, chr(10))[3:]) AS line, generate_subscripts(string_split(body, chr(10))[3:], 1) AS i, array_to_string(string_split(body, chr(10))[:2], chr(10)) AS head FROM t),
 p AS (SELECT bucket, i, 0 AS part, length(line) // 4 AS used FROM l WHERE i = 1
-  UNION ALL SELECT l.bucket, l.i, CASE WHEN p.used + length(line) // 4 > 200 - length(head) // 4 - 50 THEN part + 1 ELSE part END, CASE WHEN p.used + length(line) // 4 > 200 - length(head) // 4 - 50 THEN 0 ELSE p.used END + length(line) // 4 FROM p JOIN l ON l.bucket = p.bucket AND l.i = p.i + 1)
-SELECT bucket, part, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS piece FROM p JOIN l USING (bucket, i) GROUP BY bucket, part"""
-)
+  UNION ALL SELECT l.bucket, l.i, CASE WHEN {over} THEN part + 1 ELSE part END, CASE WHEN {over} THEN 0 ELSE p.used END + length(line) // 4 FROM p JOIN l ON l.bucket = p.bucket AND l.i = p.i + 1),
+parts AS (SELECT bucket, part, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS piece FROM p JOIN l USING (bucket, i) GROUP BY bucket, part)"""
+
+
+@query(f"WITH RECURSIVE {_table_sql(ORACLE_SQL['chunk_rows'], 200)} SELECT bucket, part, piece FROM parts")
 def table_parts(table):
     tables = chunk.table_chunks(table("documents"), F.floor(F.col("doc_id") / 50), "doc_id", ["doc_id", "lang", "source"])
     return chunk.table_parts(tables, "bucket", "body", 200)
@@ -587,3 +612,23 @@ def hybrid_context(table):
     vector = retrieve.vector_search(table("embeddings"), "embedding", _first_vector(table), "vec_id", 20).select((F.col("vec_id") * 1000000).alias("key"), "score")
     lists = {"vector": (vector, 0.6), "keyword": (index.search(_BM25_TERMS, 20).hits, 0.4)}
     return rounded(retrieve.hybrid_context(lists, pieces, "key", "doc_id", "chunk", "piece"), 9)
+
+
+_TURNS = "SELECT conv_id AS bucket, '| turn | role |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || turn || ' | ' || coalesce(role, 'NULL') || ' |', chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1"
+
+
+@query(
+    f"""WITH RECURSIVE {_table_sql(_TURNS, 150)},
+{_split_sql("SELECT conv_id AS key, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id", 150, 60)},
+e AS (SELECT key AS doc, 3 AS rank, n, 'text' AS kind, piece FROM chunks UNION ALL SELECT bucket, 2, part, 'table', piece FROM parts
+ UNION ALL SELECT conv_id, 1, 0, 'statistics', '## Document Statistics: ' || conv_id || chr(10) || chr(10) || '**Total Rows:** ' || count(*) FROM conversations GROUP BY conv_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc, kind = 'statistics', piece ORDER BY rank, n) AS times FROM e)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY rank, n) - 1)::INTEGER AS chunk, kind, piece AS text, substr(sha256(piece), 1, 16) AS hash, (length(piece) // 4)::INTEGER AS tokens FROM o WHERE times = 1 OR (kind = 'table' AND length(piece) // 4 >= 100)"""
+)
+def document_chunks(table):
+    turns = table("conversations")
+    told = turns.groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    tables = chunk.table_chunks(turns, F.col("conv_id"), "turn", ["turn", "role"]).select(F.col("bucket").alias("doc"), F.lit("table").alias("kind"), F.col("body").alias("text"))
+    heads = turns.groupBy(F.col("conv_id").alias("doc")).agg(F.count("*").alias("n")).select("doc", F.lit("statistics").alias("kind"), F.format_string("## Document Statistics: %s\n\n**Total Rows:** %d", F.col("doc").cast("string"), "n").alias("text"))
+    parts = told.withColumn("kind", F.lit("text")).unionByName(tables).unionByName(heads).withColumn("place", F.lit(0))
+    return chunk.document_chunks(parts, 150, 60)

@@ -4,7 +4,7 @@ A run of a key begins with an event; the next one begins with the first event th
 must be followed in order, yet a key may hold any share of all events, so time is cut into blocks of about ROWS events.
 Every block finds, for each event that may be its first start, where the chain leaves the block; these few steps are put
 together along the blocks of a key, and then every block knows its first start. No task holds more than a block's events
-of a key or a key's steps. Events of one time go by ``order``; events without key, time or order take no part.
+of a key or a key's steps. Events of one time go by ``order``; events without time or order take no part, those without key are one key's.
 
 On a stream each key keeps one row: its open run. Events of a micro-batch go in the order of their times; an event that
 comes in a later micro-batch than younger ones counts where the open run stands. The open run ends by a timer when the
@@ -101,7 +101,7 @@ def runs(events: DataFrame, key: str, ts: str, order: str, value: str, rule: Rul
     """(key, RUN columns) of a static table: a row for each run and block that it touches, ``opened`` in the block of its start."""
     kind = dict(events.dtypes)[key]
     rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value"))
-    rows = rows.filter("key is not null and ts is not null and `order` is not null")
+    rows = rows.filter("ts is not null and `order` is not null")
     n, low, high = rows.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
     low, high = low or 0, high or 0
     length = max((high - low) // max(1, n // ROWS) + 1, LONGER * rule.wait)
@@ -131,7 +131,7 @@ def stream_runs(events: DataFrame, key: str, ts: str, order: str, value: str, ru
     """(key, RUN columns) of a stream: each run once, when it starts (``at_start``) or when it ends. Append mode."""
     kind = dict(events.dtypes)[key]
     rows = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value"))
-    rows = rows.filter("key is not null and at is not null and `order` is not null").withWatermark("at", delay).withColumn("ts", F.unix_micros("at"))
+    rows = rows.filter("at is not null and `order` is not null").withWatermark("at", delay).withColumn("ts", F.unix_micros("at"))
 
     def handle(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # the open run: events it still takes, its deadline, then what a RUN row holds

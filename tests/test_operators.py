@@ -123,9 +123,17 @@ def test_windows_end_with_sentences_and_tables_keep_their_rows():
 
 def test_chunks(spark):
     text = "First one. Second one! " * 60
-    parts = list(chunk.split_text(text, 200, 40))
-    assert all(len(p) <= 200 for p in parts) and " ".join(parts).count("First one.") >= 60
+    parts = list(chunk.split_text(text, 50, 10))
+    assert all(sum(len(s) // 4 for s in p.replace("! ", "!|").replace(". ", ".|").split("|")) <= 50 for p in parts) and " ".join(parts) == text.strip()
+    para = ["One paragraph of words, number %02d." % i for i in range(6)]  # of 8 tokens
+    assert list(chunk.split_text("\n\n".join([*para[:3], "page 3", *para[3:]]), 30, 9)) == ["\n\n".join(para[:3]), "\n\n".join(para[2:5]), "\n\n".join(para[4:])]
+    assert list(chunk.split_text("\n\n".join(para), 30, 7)) == ["\n\n".join(para[:3]), "\n\n".join(para[3:])]
+    long = "A sentence of nine tokens, or about so. " * 5
+    assert list(chunk.split_text(f"{para[0]}\n\n{long}\n\n{para[1]}", 20, 9)) == [para[0], *[" ".join([long[:39]] * 2)] * 2, long[:39], para[1]]
+    assert list(chunk.split_text("page 3 of 4", 50)) == [] and list(chunk.split_text("", 50)) == [] and list(chunk.split_text("  some words here ", 50)) == ["  some words here "]
     df = spark.createDataFrame([(1, "a: b\nc:d:e\nnothing"), (2, None)], "id int, t string")
+    marks = df.select(hygiene.is_noise(F.col("t")), hygiene.is_table(F.col("t"))).collect()
+    assert [tuple(r) for r in marks] == [(chunk.noise(t), chunk.table_like(t)) for t in ("a: b\nc:d:e\nnothing", "")]
     assert {tuple(r) for r in chunk.key_values(df, "id", "t").collect()} == {(1, "a", "b"), (1, "c", "d:e")}
     rows = chunk.table_chunks(spark.createDataFrame([(1, "a|b"), (2, None)], "id int, v string"), F.lit(0), "id", ["id", "v"]).first()
     assert rows["body"].split("\n")[2:] == ["| 1 | a\\|b |", "| 2 | NULL |"]
@@ -176,3 +184,18 @@ def test_cooldown_and_compression(spark):
     assert sorted((r["kind"] or "", r["s"]) for r in got) == [("", 200), ("a", 0), ("a", 301), ("a", 620), ("a", 5000), ("a", 5300), ("b", 305)]
     texts = spark.createDataFrame([("One two. Three four five! Six.",), ("a b c d e f g h",), ("",), (None,)], "t string")
     assert [r[0] for r in texts.select(retrieve.compressed(F.col("t"), 5)).collect()] == ["One two. Three four five!", "a b c d e...", "", ""]
+    few = spark.createDataFrame([("One two.\n\nThree  four. ",), (" One  two. Three four five six.",)], "t string")
+    assert [r[0] for r in few.select(retrieve.compressed(F.col("t"), 5)).collect()] == ["One two.\n\nThree  four. ", " One  two."]
+
+
+def test_document_chunks(spark):
+    table = "| a |\n| --- |\n| 1 |"
+    wide = "| column name |\n| --- |\n" + "\n".join(f"| {i:040d} |" for i in range(12))
+    rows = [("d", 9, "statistics", "## Document Statistics: d"), ("d", 1, "text", "Some text that is told."), ("d", 2, "text", "Some text that is told."), ("d", 5, "table", table), ("d", 6, "table", table), ("d", 7, "table", wide), ("d", 8, "table", wide), ("d", 3, "text", table), ("d", 4, "text", "page 4"), ("e", 1, "text", None), ("e", 2, "table", ""), ("e", 3, "odd", "left out"), (None, 1, "text", "without a document")]
+    got = chunk.document_chunks(spark.createDataFrame(rows, "doc string, place int, kind string, text string").repartition(3), 200, 10).collect()
+    mine = [(r["chunk"], r["kind"], r["text"]) for r in sorted((r for r in got if r["doc"] == "d"), key=lambda r: r["chunk"])]
+    assert mine == [(0, "statistics", "## Document Statistics: d"), (1, "table", table), (2, "table", wide), (3, "table", wide), (4, "text", "Some text that is told.")]
+    assert [(r["chunk"], r["text"]) for r in got if r["doc"] is None] == [(0, "without a document")] and not [r for r in got if r["doc"] == "e"]
+    assert all(r["tokens"] == len(r["text"]) // 4 for r in got)
+    none = chunk.document_chunks(spark.createDataFrame([], "doc long, place int, kind string, text string"))
+    assert none.collect() == [] and none.dtypes[0] == ("doc", "bigint")

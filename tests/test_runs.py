@@ -61,9 +61,9 @@ def static(spark, rows):
 
 def test_batches_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(runs, "ROWS", 50)  # many blocks
-    rows = [*rows_of(1, 700), (900, None, "a", 1.0), (901, START, None, 1.0)]
+    rows = [*rows_of(1, 700), (900, None, "a", 1.0), (901, START, None, 1.0), (902, START, None, 2.0)]
     got = windows.batches(static(spark, rows), "ts", "kind", "value", "id", 5, 1.5).collect()
-    for kind in "ab":
+    for kind in ("a", "b", None):
         want = plain([(round((t - START).total_seconds() * 1e6), i, v) for i, t, k, v in rows if k == kind and t], Rule(1_500_000, 5, True))
         mine = sorted((round((r["start"] - START).total_seconds() * 1e6), round((r["last"] - START).total_seconds() * 1e6), r["count"], r["total"]) for r in got if r["kind"] == kind)
         assert mine == sorted((w[0], *w[2:]) for w in want)
