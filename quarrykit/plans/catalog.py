@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import hygiene
 from quarrykit.operators import aggregate, chunk, profile, retrieve, trend
 from quarrykit.operators.keyword_index import KeywordIndex
-from quarrykit.plans import router
+from quarrykit.plans import questions, router
 from quarrykit.sources.folders import shared_folder
 from quarrykit.streaming import events as windows
 
@@ -632,3 +632,53 @@ def document_chunks(table):
     heads = turns.groupBy(F.col("conv_id").alias("doc")).agg(F.count("*").alias("n")).select("doc", F.lit("statistics").alias("kind"), F.format_string("## Document Statistics: %s\n\n**Total Rows:** %d", F.col("doc").cast("string"), "n").alias("text"))
     parts = told.withColumn("kind", F.lit("text")).unionByName(tables).unionByName(heads).withColumn("place", F.lit(0))
     return chunk.document_chunks(parts, 150, 60)
+
+
+# a log of questions, as an order's clerk may have asked them
+_ASKED = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'What is the total o_totalprice over ' || (o_custkey % 900) WHEN 1 THEN 'top ' || (o_custkey % 20) || ' customers ranked' WHEN 2 THEN 'orders similar to ' || o_orderkey
+ WHEN 3 THEN 'O_TOTALPRICE between ' || (o_custkey % 50) || ' and  ' || (o_custkey % 99 + 50) || ' since ' || {day} WHEN 4 THEN 'show me the o_orderstatus column where o_custkey is ' || o_custkey WHEN 5 THEN 'monthly distribution of o_totalprice in march  1995'
+ WHEN 6 THEN o_orderpriority || ' less than ' || (o_custkey % 7) || '.5' ELSE o_orderstatus END AS q FROM orders"""
+_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+def _asked(table) -> DataFrame:
+    orders = table("orders")
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    texts = [
+        F.concat(F.lit("What is the total o_totalprice over "), n("o_custkey", 900)), F.concat(F.lit("top "), n("o_custkey", 20), F.lit(" customers ranked")), F.concat(F.lit("orders similar to "), F.col("o_orderkey").cast("string")),
+        F.concat(F.lit("O_TOTALPRICE between "), n("o_custkey", 50), F.lit(" and  "), (F.col("o_custkey") % 99 + 50).cast("string"), F.lit(" since "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("show me the o_orderstatus column where o_custkey is "), F.col("o_custkey").cast("string")),
+        F.lit("monthly distribution of o_totalprice in march  1995"), F.concat(F.col("o_orderpriority"), F.lit(" less than "), n("o_custkey", 7), F.lit(".5")), F.col("o_orderstatus"),
+    ]
+    return orders.select("o_orderkey", F.element_at(F.array(*texts), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("q"))
+
+
+@query(
+    f"""WITH a AS (SELECT o_orderkey, lower(q) AS q FROM ({_ASKED.format(day="strftime(o_orderdate, '%Y-%m-%d')")})),
+n AS (SELECT *, len(list_filter(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice'], lambda c: contains(q, c))) AS named,
+ CASE WHEN regexp_matches(q, '\\bsimilar\\s+to\\b') THEN 'semantic' WHEN o_orderkey % 8 = 4 THEN 'lookup' WHEN o_orderkey % 8 = 5 THEN 'temporal' WHEN o_orderkey % 8 = 0 THEN 'aggregate' WHEN o_orderkey % 8 = 1 THEN 'sort'
+ WHEN o_orderkey % 8 = 3 AND regexp_matches(q, 'since \\d{{4}}') THEN 'temporal' ELSE 'unknown' END AS category FROM a),
+s AS (SELECT *, CASE o_orderkey % 8 WHEN 0 THEN 76 WHEN 1 THEN 48 WHEN 3 THEN 108 WHEN 4 THEN 58 WHEN 5 THEN 46 END / 100 AS w FROM n),
+b AS (SELECT o_orderkey, category, named, CASE WHEN category = 'semantic' THEN 0.1 WHEN named > 0 THEN least(coalesce(0.6 + w, 0) + 0.1 * named, 0.95) ELSE coalesce(0.6 + w, 0) END AS score FROM s)
+SELECT o_orderkey, round(score, 6)::DOUBLE AS score, category, CASE WHEN category = 'semantic' THEN 'search' WHEN score > 0.7 AND category IN ('aggregate', 'filter', 'sort', 'lookup') AND (named > 0) THEN 'compute' WHEN score > 0.5 THEN 'explain' ELSE 'search' END AS path FROM b"""
+)
+def question_scores(table):
+    return rounded(_asked(table).select("o_orderkey", questions.scored(F.col("q"), _COLUMNS).alias("s")).select("o_orderkey", "s.*"), 6)
+
+
+@query(
+    f"""WITH a AS (SELECT o_orderkey, lower(q) AS q FROM ({_ASKED.format(day="strftime(o_orderdate, '%Y-%m-%d')")}))
+SELECT o_orderkey, array_to_string(list_filter(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice'], lambda c: contains(q, c)), ',') AS columns,
+ round(list_sum(list_transform(regexp_extract_all(q, '\\b\\d+(?:\\.\\d+)?\\b'), lambda x: x::DOUBLE)), 4) AS numbers,
+ array_to_string(list_concat(regexp_extract_all(q, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b'), list_transform(regexp_extract_all(q, 'march\\s+\\d{{4}}'), lambda x: 'march ' || right(x, 4))), ',') AS dates,
+ CASE o_orderkey % 8 WHEN 0 THEN '>' || regexp_extract(q, 'over (\\d+)', 1) WHEN 3 THEN 'between' || replace(regexp_extract(q, 'between (\\d+ and  \\d+)', 1), '  ', ' ') WHEN 4 THEN '=' || regexp_extract(q, 'is (\\d+)', 1) WHEN 6 THEN '<' || regexp_extract(q, 'less than (\\d+)', 1) ELSE '' END AS comparisons FROM a"""
+)
+def question_entities(table):
+    found = _asked(table).select("o_orderkey", questions.entities(F.col("q"), _COLUMNS).alias("e")).select("o_orderkey", "e.*")
+    joined = F.array_join(F.transform("comparisons", lambda c: F.concat(c["op"], c["value"])), ",")
+    return rounded(found.select("o_orderkey", F.array_join("columns", ",").alias("columns"), F.when(F.size("numbers") > 0, F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x)).alias("numbers"), F.array_join("dates", ",").alias("dates"), joined.alias("comparisons")))
+
+
+@query("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority = '1-URGENT' AND o_orderdate >= '1995-01-01' GROUP BY 1")
+def question_filters(table):
+    asked = "total o_totalprice by o_orderstatus where o_totalprice between 1000 and 90000 and o_orderpriority is '1-URGENT' and o_orderdate since 1995-01-01"
+    return rounded(router.answer(asked, table("orders").select("o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")), 2)

@@ -139,6 +139,15 @@ def plan(question: str, df: DataFrame) -> Plan:
     found.function = next((f for w, f in AGGREGATES.items() if re.search(rf"\b{w}\b", q)), "sum")
     found.n = int(m[1]) if (m := re.search(r"\b(?:top|bottom|first|best|worst|highest|lowest)\s+(\d+)", q)) else 10
     for c in named:
+        name = rf"\b{re.escape(c.lower())}\s*(?:is\s+)?"
+        if (m := re.search(rf"{name}(not\s+)?between\s+(\d+(?:\.\d+)?)\s+and\s+(\d+(?:\.\d+)?)", q)) and c in numeric:
+            found.filters.append(f"`{c}` {'NOT ' if m[1] else ''}BETWEEN {m[2]} AND {m[3]}")
+        # words and days stand in quotes or as one word, as the question spells them
+        elif (m := re.search(rf"{name}(not\s+|!)?(?:equals?|=|is)?\s*(?:'([^']*)'|\"([^\"]*)\")", question, re.I)) and c not in numeric:
+            value = (m[2] if m[2] is not None else m[3]).replace("\\", "\\\\").replace("'", "\\'")
+            found.filters.append(f"`{c}` {'<>' if m[1] else '='} '{value}'")
+        elif (m := re.search(rf"{name}(since|from|after|before|until)\s+(\d{{4}}-\d{{2}}-\d{{2}})\b", q)) and c not in numeric:
+            found.filters.append(f"`{c}` {({'since': '>=', 'from': '>=', 'after': '>', 'before': '<', 'until': '<='})[m[1]]} '{m[2]}'")
         for op, sign in (("(?:greater than|more than|over|above|>)", ">"), ("(?:less than|under|below|<)", "<"), ("(?:equals?|=)", "=")):
             if m := re.search(rf"\b{re.escape(c.lower())}\s*(?:is\s+)?{op}\s*(\d+(?:\.\d+)?)", q):
                 found.filters.append(f"`{c}` {sign} {m[1]}")
