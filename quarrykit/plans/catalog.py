@@ -12,6 +12,7 @@ from quarrykit.functions import hygiene
 from quarrykit.operators import aggregate, chunk, profile, retrieve, trend
 from quarrykit.operators.keyword_index import KeywordIndex
 from quarrykit.plans import questions, router
+from quarrykit.sources import tables
 from quarrykit.sources.folders import shared_folder
 from quarrykit.streaming import events as windows
 
@@ -682,3 +683,38 @@ def question_entities(table):
 def question_filters(table):
     asked = "total o_totalprice by o_orderstatus where o_totalprice between 1000 and 90000 and o_orderpriority is '1-URGENT' and o_orderdate since 1995-01-01"
     return rounded(router.answer(asked, table("orders").select("o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")), 2)
+
+
+def _folder(df: DataFrame) -> str:
+    return f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::DOUBLE AS doc_id, lang, source, nullif(trim(substr(replace(text, chr(13), ' '), 1, 40)), '') AS head FROM documents")
+def csv_of_encodings(table):
+    docs, encodings = table("documents"), ("UTF-8", "ISO-8859-1", "UTF-16")
+    head = docs.select("doc_id", "lang", "source", F.substring(F.replace("text", F.lit("\r"), F.lit(" ")), 1, 40).alias("head"))
+    folder = _folder(docs)
+    for i, encoding in enumerate(encodings):
+        tables.write_table(head.filter(F.pmod("doc_id", F.lit(len(encodings))) == i), f"{folder}/part={i}", "csv", encoding=encoding)
+    return tables.read_table(docs.sparkSession, f"{folder}/*", "csv")
+
+
+@query("SELECT s_suppkey, s_name, round(s_acctbal, 4) AS s_acctbal FROM supplier")
+def json_of_lists(table):
+    suppliers = table("supplier")
+    folder = _folder(suppliers)
+    columns = ["s_suppkey", "s_name", "s_acctbal"]
+    # a file for each nation, each an object of lists
+    rows = suppliers.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r")).select("s_nationkey", *[F.col(f"r.{c}").alias(c) for c in columns])
+    rows.repartition(F.col("s_nationkey")).write.partitionBy("s_nationkey").json(folder)
+    return rounded(tables.read_table(suppliers.sparkSession, f"{folder}/*", "json").select("s_suppkey", "s_name", "s_acctbal"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, round(o_totalprice, 2) AS o_totalprice, o_orderpriority FROM orders")
+def tsv_and_orc(table):
+    orders = table("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice", "o_orderpriority")
+    folder = _folder(orders)
+    tables.write_table(orders.filter("o_orderkey % 2 = 0"), f"{folder}/even.tsv")
+    tables.write_table(orders.filter("o_orderkey % 2 <> 0"), f"{folder}/odd.orc")
+    even = tables.read_table(orders.sparkSession, f"{folder}/even.tsv").withColumn("o_orderkey", F.col("o_orderkey").cast("long")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return rounded(even.unionByName(tables.read_table(orders.sparkSession, f"{folder}/odd.orc")), 2)
