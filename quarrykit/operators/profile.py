@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,24 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return moments.join(F.broadcast(values), "name", "left").join(F.broadcast(medians), "name", "left").select("name", "non_null", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max", "mean", "median", "std", "sum", "unit")
 
 
+def by_type(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """(name, value) rows of the columns of each type, values as they are: a scan a type, which reads that type's columns."""
+    kinds: dict[str, list[str]] = {}
+    for name, kind in df.select(*[F.col(f"`{c}`") for c in columns]).dtypes:
+        kinds.setdefault(kind, []).append(name)
+    return [unpivoted(df, names, kind) for kind, names in kinds.items()]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(name, non_null, nulls, distinct) of (name, value) rows: counts by value combine before the shuffle, and no task holds a column's values."""
+    values = rows.groupBy("name", "value").agg(F.count("*").alias("n"))
+    there = F.col("value").isNotNull()
+    return values.groupBy("name").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("nulls"), F.count_if(there).alias("distinct"))
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """One row per column: non-null, null and distinct values (nulls apart), share missing."""
-    found = unpivoted(df, df.columns, "string").groupBy("name").agg(F.count("value").alias("non_null"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct("value").alias("distinct"))
+    found = reduce(DataFrame.unionByName, [counted(rows) for rows in by_type(df, df.columns)])
     return found.withColumn("missing_pct", F.round(F.col("nulls") / (F.col("nulls") + F.col("non_null")) * 100, 2))
 
 
@@ -58,9 +75,11 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def semantic_types(df: DataFrame) -> DataFrame:
-    """(name, kind): numeric, id, datetime, boolean, categorical, text or unknown. One aggregate for all columns."""
+    """(name, kind): numeric, id, datetime, boolean, categorical, text or unknown.
+
+    Most types decide by themselves; whole numbers are counted by value, and only strings are looked at as text.
+    """
     fields = {f.name: f.dataType for f in df.schema}
-    stats = unpivoted(df, df.columns, "string").groupBy("name").agg(F.count("value").alias("n"), F.count_distinct("value").alias("u"), F.avg(F.length("value")).alias("length"), F.count(F.try_to_timestamp("value")).alias("dates"))
 
     def physical(kind: T.DataType, name: str) -> str:
         named_id = name.lower() in ("id", "index", "key", "pk") or name.lower().endswith("_id")
@@ -68,22 +87,71 @@ def semantic_types(df: DataFrame) -> DataFrame:
             return "id" if named_id else "integer" if isinstance(kind, T.IntegralType) else "numeric"
         return "datetime" if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "boolean" if isinstance(kind, T.BooleanType) else "string"
 
-    of = F.element_at(F.create_map(*[x for name, kind in fields.items() for x in (F.lit(name), F.lit(physical(kind, name)))]), F.col("name"))
-    kind = (
-        F.when(of.isin("id", "numeric", "datetime", "boolean"), of)
-        .when(of == "integer", F.when((F.col("n") > 0) & (F.col("u") / F.col("n") > 0.95), "id").otherwise("numeric"))
-        .when(F.col("n") == 0, "unknown").when(F.col("dates") / F.col("n") > 0.8, "datetime")
-        .when((F.col("u") / F.col("n") < 0.5) | (F.col("u") < 50), "categorical").when(F.col("length") > 100, "text").otherwise("categorical")
-    )
-    return stats.select("name", kind.alias("kind"))
-
-
-def correlations(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
-    """The strongest pairs by absolute Pearson correlation, each over the rows where both are there. One aggregate."""
-    pairs = list(combinations((columns or numeric_columns(df))[:15], 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("x")).select("x.*").filter("r is not null and not isnan(r)").orderBy(F.desc(F.abs("r")), "left_column", "right_column").limit(top)
+    of = {name: physical(kind, name) for name, kind in fields.items()}
+    sure = df.sparkSession.createDataFrame([(n, k) for n, k in of.items() if k not in ("integer", "string")], "name string, kind string")
+    whole, texts = [n for n, k in of.items() if k == "integer"], [n for n, k in of.items() if k == "string"]
+    found = [sure]
+    if whole:
+        ids = counted(unpivoted(df, whole, "bigint"))
+        found.append(ids.select("name", F.when((F.col("non_null") > 0) & (F.col("distinct") / F.col("non_null") > 0.95), "id").otherwise("numeric").alias("kind")))
+    if texts:
+        values = unpivoted(df, texts, "string").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+        stats = values.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("u"), (F.sum(F.col("n") * F.length("value")) / F.sum("n")).alias("length"), F.sum(F.when(F.try_to_timestamp("value").isNotNull(), F.col("n")).otherwise(0)).alias("dates"))
+        names = df.sparkSession.createDataFrame([(n,) for n in texts], "name string")
+        kind = (
+            F.when(F.col("n").isNull(), "unknown").when(F.col("dates") / F.col("n") > 0.8, "datetime")
+            .when((F.col("u") / F.col("n") < 0.5) | (F.col("u") < 50), "categorical").when(F.col("length") > 100, "text").otherwise("categorical")
+        )
+        found.append(names.join(stats, "name", "left").select("name", kind.alias("kind")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(left_column, right_column, n, r): the Pearson correlation of all pairs, each over the rows where both are there.
+
+    Each task adds up products of blocks of rows, values less their column's mean and masks of what is there, and the
+    sums of all tasks are added up in a tree: columns x columns figures reach the driver, whatever the number of rows.
+    Pairs without spread have no r; NaN counts as missing.
+    """
+    columns = columns or numeric_columns(df)
+    d = len(columns)
+    plain = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = np.array([m or 0.0 for m in plain.agg(*[F.avg(f"c{i}") for i in range(d)]).first()])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((4, d, d))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(np.float64) - means
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            whole += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.record_batch([pa.array([whole.tobytes()], pa.binary())], ["sums"])
+
+    parts = plain.mapInArrow(sums, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]))
+    n, s, q, p = parts.treeAggregate(np.zeros(4 * d * d), np.add, np.add).reshape(4, d, d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = (n * q - s * s) * (n * q.T - s.T * s.T)
+        r = (n * p - s * s.T) / np.sqrt(spread)
+    rows = [(a, b, int(n[i, j]), float(np.clip(r[i, j], -1, 1)) if spread[i, j] > 0 else None) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "left_column string, right_column string, n long, r double")
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None, top: int = 5, most: int = 15) -> DataFrame:
+    """The strongest pairs by absolute Pearson correlation, each over the rows where both are there. One aggregate, or the matrix of more than ``most`` columns."""
+    columns = columns or numeric_columns(df)
+    pairs = list(combinations(columns, 2))
+    if len(columns) > most:
+        place = {c: i for i, c in enumerate(columns)}
+        matrix = correlation_matrix(df, columns).collect()
+        rows = [(r["left_column"], r["right_column"], r["r"]) for r in matrix if place[r["left_column"]] < place[r["right_column"]]]
+        found = df.sparkSession.createDataFrame(rows, "left_column string, right_column string, r double")
+    elif pairs:
+        one = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+        rows = F.array(*[F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+        found = one.select(F.explode(rows).alias("x")).select("x.*")
+    else:
+        found = df.sparkSession.createDataFrame([], "left_column string, right_column string, r double")
+    return found.filter("r is not null and not isnan(r)").orderBy(F.desc(F.abs("r")), "left_column", "right_column").limit(top)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import hygiene
-from quarrykit.operators import aggregate, chunk, profile, retrieve, trend
+from quarrykit.operators import aggregate, chunk, profile, retrieve, sketches, trend
 from quarrykit.operators.keyword_index import KeywordIndex
 from quarrykit.plans import questions, router
 from quarrykit.sources import tables
@@ -58,7 +58,13 @@ def profile_nulls_distinct(table):
     return profile.completeness(table("orders").select(*_ORDERS))
 
 
-@query("SELECT count(*) AS rows, 5::BIGINT AS columns, 100.0::DOUBLE AS filled_pct, 0::BIGINT AS empty_columns, 0::BIGINT AS mostly_missing FROM documents")
+_MISSING = [f"count(*) - count({c})" for c in ("doc_id", "text", "lang", "source", "n_chars")]
+
+
+@query(
+    f"SELECT count(*) AS rows, {len(_MISSING)}::BIGINT AS columns, CASE WHEN count(*) > 0 THEN round((count(*) * {len(_MISSING)} - ({' + '.join(_MISSING)})) / (count(*) * {len(_MISSING)}) * 100, 2) ELSE 0 END::DOUBLE AS filled_pct,"
+    f" ({' + '.join(f'(count(*) > 0 AND {m} = count(*))::INTEGER' for m in _MISSING)})::BIGINT AS empty_columns, ({' + '.join(f'(2 * ({m}) > count(*))::INTEGER' for m in _MISSING)})::BIGINT AS mostly_missing FROM documents"
+)
 def dataset_overview(table):
     return profile.overview(table("documents").select("doc_id", "text", "lang", "source", "n_chars")).withColumn("filled_pct", F.col("filled_pct").cast("double"))
 
@@ -393,11 +399,25 @@ def value_alerts(table):
     return rounded(windows.alerts(table("events"), "ts", "event_type", "value", 50.0)).withColumn("fired", F.date_format("fired", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+def _kind_sql(table: str, column: str, physical: str) -> str:
+    """A row (name, kind) of a column by the rule for its physical type."""
+    count, distinct = f"count({column})", f"count(DISTINCT {column})"
+    whole = f"CASE WHEN {count} > 0 AND {distinct} / {count} > 0.95 THEN 'id' ELSE 'numeric' END"
+    dates = f"count(try_cast({column} AS TIMESTAMP))"
+    text = f"CASE WHEN {count} = 0 THEN 'unknown' WHEN {dates} / {count} > 0.8 THEN 'datetime' WHEN {distinct} / {count} < 0.5 OR {distinct} < 50 THEN 'categorical' WHEN avg(length({column})) > 100 THEN 'text' ELSE 'categorical' END"
+    return f"SELECT '{column}' AS name, {({'whole': whole, 'string': text}.get(physical) or f"coalesce(max('{physical}'), '{physical}')")} AS kind FROM {table}"
+
+
+@query(" UNION ALL ".join(_kind_sql("orders", c, k) for c, k in (("o_orderkey", "whole"), ("o_custkey", "whole"), ("o_orderstatus", "string"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "string"))))
 def semantic_types(table):
     return profile.semantic_types(table("orders"))
 
 
+@query(" UNION ALL ".join(_kind_sql("documents", c, k) for c, k in (("doc_id", "id"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "whole"))))
+def semantic_types_of_texts(table):
+    return profile.semantic_types(table("documents"))
+
+
 @query('SELECT count(l_extendedprice) AS count, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS std, round(max(l_extendedprice) - min(l_extendedprice), 4) AS "range" FROM lineitem')
 def distribution_stats(table):
     return rounded(profile.distribution(table("lineitem"), "l_extendedprice"))
@@ -718,3 +738,29 @@ def tsv_and_orc(table):
     tables.write_table(orders.filter("o_orderkey % 2 <> 0"), f"{folder}/odd.orc")
     even = tables.read_table(orders.sparkSession, f"{folder}/even.tsv").withColumn("o_orderkey", F.col("o_orderkey").cast("long")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return rounded(even.unionByName(tables.read_table(orders.sparkSession, f"{folder}/odd.orc")), 2)
+
+
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, count({a} + {b}) AS n, round(corr({a}, {b}), 6) AS r FROM (SELECT * REPLACE (CASE WHEN l_quantity > 10 THEN l_tax END AS l_tax) FROM lineitem)" for a in _NUMBERS for b in _NUMBERS))
+def correlation_matrix(table):
+    lines = table("lineitem").withColumn("l_tax", F.when(F.col("l_quantity") > 10, F.col("l_tax")))
+    return rounded(profile.correlation_matrix(lines, _NUMBERS), 6)
+
+
+@query("SELECT l_suppkey AS value, count(*) AS count FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 10")
+def top_values_by_sketch(table):
+    lines = table("lineitem")
+    return sketches.top_values(lines, "l_suppkey", sketches.frequent(lines, "l_suppkey", F.col("l_returnflag")))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, round(min({n}), 4) AS low, round(max({n}), 4) AS high, true AS distinct_fits FROM lineitem" for c, n in (("l_quantity", "l_quantity"), ("l_returnflag", "NULL::DOUBLE"), ("l_suppkey", "l_suppkey"), ("l_shipdate", "NULL::DOUBLE"))))
+def profile_of_merged_parts(table):
+    lines = table("lineitem").select("l_quantity", "l_returnflag", "l_suppkey", "l_shipdate")
+    folder = _folder(lines)
+    sketches.states(lines, part=F.date_format("l_shipdate", "yyyy")).write.parquet(folder)
+    found = sketches.profile(lines.sparkSession.read.parquet(folder))
+    exact = profile.completeness(lines).select("name", F.col("distinct").alias("exact"))
+    fits = F.col("exact").between(F.col("distinct_low"), F.col("distinct_high"))
+    return rounded(found.join(exact, "name").select("name", "rows", "nulls", "low", "high", fits.alias("distinct_fits")))

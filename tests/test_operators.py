@@ -199,3 +199,30 @@ def test_document_chunks(spark):
     assert all(r["tokens"] == len(r["text"]) // 4 for r in got)
     none = chunk.document_chunks(spark.createDataFrame([], "doc long, place int, kind string, text string"))
     assert none.collect() == [] and none.dtypes[0] == ("doc", "bigint")
+
+
+def test_correlation_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 20)) + 1e6
+    x[:, 1] = -x[:, 0] + 0.1 * rng.normal(size=500)
+    x[rng.random((500, 20)) < 0.2] = np.nan
+    x[:, 5] = 3.0
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`c.{i}` double" for i in range(20))).repartition(5)
+    got = {(r["left_column"], r["right_column"]): r for r in profile.correlation_matrix(df).collect()}
+    assert len(got) == 400
+    for i in range(20):
+        for j in range(20):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r = got[f"c.{i}", f"c.{j}"]
+            assert r["n"] == both.sum() and (r["r"] is None if 5 in (i, j) else abs(r["r"] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9)
+    assert [(r["left_column"], r["right_column"]) for r in profile.correlations(df, top=1).collect()] == [("c.0", "c.1")]
+    assert profile.correlations(df.select("`c.0`")).collect() == [] and all(r["n"] == 0 and r["r"] is None for r in profile.correlation_matrix(df.limit(0)).collect())
+
+
+def test_semantic_types(spark):
+    rows = [(i, i % 3, float(i), f"2024-01-{i % 28 + 1:02}", "x" * 150 + str(i), None, i % 2 == 0, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, small int, v double, day string, note string, none string, flag boolean, row_id int")
+    assert {r["name"]: r["kind"] for r in profile.semantic_types(df).collect()} == {"n": "id", "small": "numeric", "v": "numeric", "day": "datetime", "note": "text", "none": "unknown", "flag": "boolean", "row_id": "id"}
+    assert {r["name"]: r["kind"] for r in profile.semantic_types(df.limit(0)).collect()}["note"] == "unknown"
