@@ -3,9 +3,9 @@
 Learning takes a bounded sample of labelled texts, as many of either class at most. Terms are all words of it that
 stand in MIN_DF texts or more. A term weighs its IDF times how far it goes with either label (FLOOR plus the phi
 coefficient), so that the cosine compares what bears on toxicity and yet every word counts. The examples' vectors go
-to an inverted index; postings of the COMMON terms are cut into blocks of examples, each with its largest weight. A
-query sums its other terms, adds these weights for a bound per block and opens blocks from the highest bound on, but
-none that cannot reach the K-th best so far; some queries go together, so that a block is one product of matrices.
+to an inverted index, in the order of their heaviest terms, so that a block holds examples alike; postings of the COMMON
+terms are cut into blocks of examples, each with its largest weight. A query sums its other terms exactly, adds these
+weights for a bound per block and opens blocks from the highest bound on, but none that cannot reach the K-th best so far; some queries go together, so that a block is one product of matrices.
 What is within rounding of the K-th best is scored again in double precision: that is exact. The neighbours' labels, weighted by squared cosine and by how their
 class was sampled, give a vote; isotonic regression over leave-one-out votes of the sample makes it a probability.
 
@@ -31,7 +31,7 @@ from quarrykit.llm.common import cut, pieces, table
 SAMPLE = 20_000
 #: A term stands in MIN_DF texts of the sample; one that tells nothing of the label has FLOOR of its IDF.
 MIN_DF, FLOOR = 2, 0.01
-K, BLOCK, COMMON = 15, 256, 256
+K, BLOCK, COMMON = 15, 64, 128
 #: So many texts are searched together; float32 sums are at most this far from the exact ones.
 TOGETHER, NEAR = 32, 1e-5
 TOXIC = 0.7
@@ -69,6 +69,9 @@ class Examples:
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.index()
 
+    # blocks of examples that queries met, and those of them that were opened
+    met = opened = 0
+
     def __getstate__(self) -> dict:
         """What is sent to executors: the counts; they make the index of them themselves."""
         return {k: self.__dict__[k] for k in ("terms", "ids", "labels", "weight", "size", "own_term", "tf", "steps")}
@@ -90,8 +93,15 @@ class Examples:
         # by example, for exact scores; by term, for the search, where float32 will do
         self.first, self.own_w = np.cumsum(self.size) - self.size, w
         order = np.argsort(t, kind="stable")
-        self.example, self.w = x[order], w[order].astype(np.float32)
-        self.blocks = -(-len(self.ids) // BLOCK)
+        # examples of one heaviest term stand in one block, so that its bounds without that term are low
+        heaviest = np.zeros(len(self.ids), np.int64)
+        by_weight = np.argsort(w, kind="stable")
+        heaviest[x[by_weight]] = t[by_weight]
+        self.at = np.lexsort((np.arange(len(self.ids)), heaviest, -np.bincount(heaviest, minlength=many)[heaviest])) if many else np.zeros(0, np.int64)
+        self.place = np.empty(len(self.at), np.int32)
+        self.place[self.at] = np.arange(len(self.at), dtype=np.int32)
+        self.example, self.w = self.place[x[order]] if many else x, w[order].astype(np.float32)
+        self.blocks = -(-len(self.at) // BLOCK)
         self.seg_size = df.astype(np.int64)
         self.seg_start = np.cumsum(self.seg_size) - self.seg_size
         # the most common terms stand as dense blocks with their largest weights
@@ -109,7 +119,7 @@ class Examples:
 
     def search(self, queries: list[Query], k: int = K, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k nearest examples and their cosines, ties to the smaller id; but not example ``skip``."""
-        n, many = len(self.ids), len(queries)
+        n, many = len(self.at), len(queries)
         scores, common, vectors = np.zeros((many, self.blocks * BLOCK), np.float32), np.zeros((many, len(self.most)), np.float32), []
         for i, query in enumerate(queries):
             t, tf = (np.frombuffer(x, np.int32) for x in query)
@@ -123,10 +133,11 @@ class Examples:
             p = spans(self.seg_start[t], sizes)
             scores[i] = np.bincount(self.example[p], np.repeat(q, sizes) * self.w[p], minlength=self.blocks * BLOCK)
             if skip is not None:
-                scores[i, skip[i]] = -9
+                scores[i, self.place[skip[i]]] = -9
         blocks = scores.reshape(many, self.blocks, BLOCK)
         bound = blocks.max(axis=2, initial=-9) + common @ self.most
         top, opened = np.full((many, k), -np.inf, np.float32), np.zeros((many, self.blocks), bool)
+        self.met += opened.size
         for at in np.argsort(-bound.max(axis=0, initial=-9), kind="stable"):
             active = np.flatnonzero(bound[:, at] >= top[:, 0] - NEAR)  # others have k better ones already
             if len(active):
@@ -134,10 +145,11 @@ class Examples:
                 blocks[active, at], opened[active, at] = found, True
                 top[active] = np.partition(np.concatenate((top[active], found), axis=1), -k, axis=1)[:, -k:]
                 top[active, 0] = top[active].min(axis=1)
+        self.opened += int(opened.sum())
         out, query_of = [], np.zeros(len(self.idf))
         for i, (t, q) in enumerate(vectors):
             least = max(float(top[i, 0]) - NEAR, 0.0)
-            ids = np.flatnonzero(((blocks[i] >= least) & (blocks[i] > 0) & opened[i][:, None]).ravel()[:n])
+            ids = np.sort(self.at[np.flatnonzero(((blocks[i] >= least) & (blocks[i] > 0) & opened[i][:, None]).ravel()[:n])])
             query_of[t] = q
             p, sizes = spans(self.first[ids], self.size[ids]), self.size[ids]
             exact = np.bincount(np.repeat(np.arange(len(ids)), sizes), query_of[self.own_term[p]] * self.own_w[p], minlength=len(ids)).round(12)
