@@ -20,6 +20,13 @@ UNITS = {
     "rate": r"rate|ratio",
     "temperature": r"temperature|temp|celsius|fahrenheit",
 }
+# Finer units by name, first match wins; words of names from which a unit is taken for granted; dates in texts.
+FINE_UNITS = (
+    (r"\$|usd", "USD"), (r"eur|€", "EUR"), (r"gbp|£", "GBP"), (r"inr|₹", "INR"), (r"%|percent|pct", "%"), (r"kg|kilogram", "kg"), (r"lb|pound", "lb"), (r"g|gram", "g"), (r"km|kilometer", "km"), (r"m|meter", "m"), (r"cm|centimeter", "cm"),
+    (r"in|inch", "in"), (r"ft|feet|foot", "ft"), (r"l|liter|litre", "L"), (r"ml|milliliter", "ml"), (r"gal|gallon", "gal"), (r"units?|qty|quantity|count", "units"), (r"pcs|pieces", "pcs"),
+)
+IMPLIED_UNITS = (("USD", ("price", "cost", "amount", "revenue", "sales", "total")), ("%", ("rate", "ratio", "pct")))
+DATES = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{1,2}[-/]\d{1,2}[-/]\d{2}|(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 STOP_WORDS = tuple(
     "a an the and or but in on at to for of with by from as is was are were been be have has had do does did will would could should may might must shall can this that these those it its i you he she we they what which who whom when where why how all each every both few more most other some such no nor not only same so than too very".split()
 )
@@ -48,6 +55,17 @@ def unit_of(name: str) -> str | None:
     return next((u for u, p in UNITS.items() if re.search(p, name.lower())), None)
 
 
+def fine_unit(name: str) -> str | None:
+    """The unit a column's name spells, letters anywhere in it, else the one its kind is counted in."""
+    name = name.lower()
+    return next((u for p, u in FINE_UNITS if re.search(p, name)), None) or next((u for u, words in IMPLIED_UNITS if any(w in name for w in words)), None)
+
+
+def looks_dated(values: Column) -> Column:
+    """Whether one of the first ten values that are there, of an array of strings, holds a date."""
+    return F.exists(F.slice(F.filter(values, lambda v: v.isNotNull()), 1, 10), lambda v: v.rlike(DATES))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words and numbers that stand alone, of two characters or more, without stop words."""
     alone = r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{N}_])"

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import hygiene
-from quarrykit.operators import aggregate, chunk, profile, retrieve, sketches, trend
+from quarrykit.operators import aggregate, chunk, profile, report, retrieve, sketches, trend
 from quarrykit.operators.keyword_index import KeywordIndex
 from quarrykit.plans import questions, router
 from quarrykit.sources import tables
@@ -18,6 +18,8 @@ from quarrykit.streaming import events as windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The functions behind the queries, which take a reader of tables.
+QUERIES_OF: dict[str, Callable] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -25,7 +27,7 @@ def query(sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-        QUERIES[f.__name__] = run
+        QUERIES[f.__name__], QUERIES_OF[f.__name__] = run, f
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return run
@@ -764,3 +766,73 @@ def profile_of_merged_parts(table):
     exact = profile.completeness(lines).select("name", F.col("distinct").alias("exact"))
     fits = F.col("exact").between(F.col("distinct_low"), F.col("distinct_high"))
     return rounded(found.join(exact, "name").select("name", "rows", "nulls", "low", "high", fits.alias("distinct_fits")))
+
+
+_FIGURES = ["l_quantity", "l_extendedprice", "l_tax"]
+_LATE = "(SELECT * REPLACE (CASE WHEN l_quantity > 10 THEN l_tax END AS l_tax) FROM lineitem)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(sum({c}), 2) AS total, round(avg({c}), 4) AS average, round(min({c}), 4) AS least, round(max({c}), 4) AS most, round(stddev_samp({c}), 4) AS std, count({c}) AS records, count(*) - count({c}) AS nulls, round(count({c}) / count(*) * 100, 1) AS populated_pct FROM {_LATE}" for c in _FIGURES))
+def long_report(table):
+    lines = table("lineitem").withColumn("l_tax", F.when(F.col("l_quantity") > 10, F.col("l_tax")))
+    return rounded(report.long_report(lines, _FIGURES)).withColumn("total", F.round("total", 2))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, (SELECT count(DISTINCT {c}) FROM lineitem) AS \"distinct\", (row_number() OVER (ORDER BY n DESC, v))::INTEGER AS rank, v AS value, n AS count FROM (SELECT {c} AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 10" for c in ("l_returnflag", "l_linestatus")))
+def category_values(table):
+    return report.categories(table("lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@query(f"SELECT name, nulls, round(nulls / n * 100, 2) AS missing_pct FROM (SELECT 'l_tax' AS name, count(*) - count(l_tax) AS nulls, count(*) AS n FROM {_LATE} UNION ALL SELECT 'l_quantity', count(*) - count(l_quantity), count(*) FROM {_LATE}) WHERE nulls > 0 ORDER BY nulls DESC, name LIMIT 10")
+def top_missing(table):
+    return report.top_missing(table("lineitem").select("l_quantity", F.when(F.col("l_quantity") > 10, F.col("l_tax")).alias("l_tax")))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS name, {u} AS unit, round(min({c})::DOUBLE, 4) AS least, round(max({c})::DOUBLE, 4) AS most, round(avg({c}), 4) AS average FROM {t}" for t, c, u in (("part", "p_size", "NULL"), ("part", "p_retailprice", "'L'"), ("supplier", "s_acctbal", "'L'"))))
+def all_metrics(table):
+    return rounded(report.all_metrics({"part": table("part").select("p_size", "p_retailprice"), "supplier": table("supplier").select("s_acctbal")}))
+
+
+@query(
+    f"""WITH {_BM25}, h AS (SELECT doc_id, source, text FROM bm JOIN documents USING (doc_id) WHERE bm.score > 0 ORDER BY bm.score DESC, doc_id LIMIT 20),
+f AS (SELECT text, min(coalesce(source, 'unknown') || chr(1) || lpad(doc_id::VARCHAR, 12, '0')) AS k FROM h GROUP BY text)
+SELECT 'DATA CONTEXT (DO NOT SUMMARIZE, DO NOT REPEAT VERBATIM):' || chr(10) || repeat('-', 55) || chr(10) || substr(string_agg('### Info from ' || split_part(k, chr(1), 1) || ':' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k), 1, 8000) || chr(10) || repeat('-', 55) AS context FROM f"""
+)
+def structured_context(table):
+    hits = retrieve.bm25(table("documents").select("doc_id", "source", "text"), "text", _BM25_TERMS, 20)
+    return report.structured_context(hits, "source", "doc_id", "text", hygiene.is_table(F.col("text")))
+
+
+@query("SELECT conv_id, count(*) AS chunks, 0::BIGINT AS tables, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def document_texts(table):
+    return report.document_texts(table("conversations"), "conv_id", "turn", "text")
+
+
+@query(f"SELECT count(*) AS total_chunks, sum(tokens)::BIGINT AS total_tokens, count(*) FILTER (kind = 'table') AS table_chunks, count(*) FILTER (kind = 'text') AS text_chunks, count(*) FILTER (kind = 'statistics') AS stats_chunks, sum(tokens)::BIGINT // count(*) AS avg_tokens, count(DISTINCT doc) AS sources FROM ({ORACLE_SQL['document_chunks']})")
+def chunk_summary(table):
+    return report.chunk_summary(QUERIES_OF["document_chunks"](table))
+
+
+@query(
+    """WITH q AS (SELECT o_orderkey, lower(CASE o_orderkey % 6 WHEN 0 THEN 'Brine and crude sold' WHEN 1 THEN 'total PRODUCTION of ' || o_orderpriority WHEN 2 THEN 'a small, thermal summary only' WHEN 3 THEN 'All sales in-depth' WHEN 4 THEN 'briefly: H2O injected' ELSE o_orderpriority END) AS q FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'oil,water' WHEN 1 THEN 'production' WHEN 2 THEN 'heat' WHEN 3 THEN 'sales' WHEN 4 THEN 'water' ELSE '' END AS metrics,
+ CASE WHEN o_orderkey % 6 = 3 THEN 'detailed' WHEN o_orderkey % 6 IN (2, 4) THEN 'brief' ELSE 'normal' END AS detail, (CASE WHEN o_orderkey % 6 = 3 THEN 15 WHEN o_orderkey % 6 IN (2, 4) THEN 4 ELSE 8 END)::INTEGER AS wanted FROM q"""
+)
+def question_metrics(table):
+    texts = [F.lit("Brine and crude sold"), F.concat(F.lit("total PRODUCTION of "), F.col("o_orderpriority")), F.lit("a small, thermal summary only"), F.lit("All sales in-depth"), F.lit("briefly: H2O injected"), F.col("o_orderpriority")]
+    asked = table("orders").select("o_orderkey", F.element_at(F.array(*texts), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("q"))
+    found = asked.select("o_orderkey", F.array_join(router.metrics_column(F.col("q")), ",").alias("metrics"), router.detail_column(F.col("q")).alias("detail"))
+    return found.withColumn("wanted", router.chunks_wanted(F.col("detail")))
+
+
+@query(
+    r"""SELECT o_orderpriority, regexp_matches(array_to_string((array_agg(o_clerkish ORDER BY o_orderkey))[:10], ' '), '\d{4}[-/]\d{1,2}[-/]\d{1,2}') AS dated, format('{:,.2f}', sum(o_totalprice)) AS total
+FROM (SELECT o_orderpriority, o_orderkey, o_totalprice, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'by ' || strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderstatus END AS o_clerkish FROM orders) GROUP BY 1""".replace("\\\\", "\\")
+)
+def dated_and_shown(table):
+    note = F.when(F.contains("o_orderpriority", F.lit("URGENT")), F.concat(F.lit("by "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.col("o_orderstatus"))
+    orders = table("orders").select("o_orderpriority", "o_orderkey", "o_totalprice", note.alias("note"))
+    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
+    first = orders.withColumn("rank", rank).filter("rank <= 10").groupBy("o_orderpriority").agg(F.collect_list("note").alias("notes"))
+    total = orders.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("total"))
+    return first.join(total, "o_orderpriority").select("o_orderpriority", hygiene.looks_dated(F.col("notes")).alias("dated"), report.amount(F.col("total")).alias("total"))

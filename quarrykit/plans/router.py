@@ -47,6 +47,16 @@ SYSTEM = "|".join(SYSTEM_PHRASES)
 FREEFORM = rf"\b({'|'.join(FREEFORM_WORDS)})\b"
 STARTERS = rf"^({'|'.join(STARTER_WORDS)})"
 RESOURCES = {"oil": ["oil", "crude"], "gas": ["gas", "mcf", "flare"], "water": ["water", "wat"], "condensate": ["cond"], "lpg": ["lpg"], "ngl": ["ngl", "natural gas liquid"], "energy": ["energy", "btu", "heat"]}
+# Words of each metric; where one of RESOURCE_NAMES is named, the general ones say nothing.
+METRIC_WORDS = {
+    "oil": ["oil", "crude", "petroleum"], "gas": ["gas", "natural gas", "mmcf", "mcf", "fuel gas", "flare"], "water": ["water", "wat", "h2o", "brine", "produced water"], "condensate": ["condensate", "cond"],
+    "lpg": ["lpg", "liquefied petroleum"], "ngl": ["ngl", "natural gas liquid"], "heat": ["heat", "thermal"], "energy": ["energy", "btu", "mmbtu"], "injection": ["injection", "inject", "injected"], "production": ["production", "produced", "prod"], "sales": ["sales", "sold", "sale"],
+}
+RESOURCE_NAMES = ("oil", "gas", "water", "condensate", "lpg", "ngl", "heat", "energy")
+# Words that ask for much or little, and how many chunks each mode takes.
+DETAILED = ["in detail", "detailed", "full", "complete", "comprehensive", "everything", "all", "entire", "whole", "in-depth", "thorough", "elaborate", "explain deeply", "deep dive", "deeply", "extensively"]
+BRIEF = ["short", "brief", "quick", "concise", "simple", "just tell me", "one line", "summary only", "tldr", "briefly", "quickly"]
+CHUNKS = {"detailed": 15, "normal": 8, "brief": 4}
 FLOWS = {"injection": ["inj"], "production": ["prod"], "sales": ["sale", "sold"]}
 COLUMN_PARTS = {"oil": ["OIL"], "gas": ["GAS"], "water": ["WAT"], "condensate": ["COND"], "lpg": ["LPG"], "ngl": ["NGL"], "energy": ["ENERGY", "BTU", "HEAT"], "production": ["PROD"], "sales": ["SALES"], "injection": ["INJ"]}
 MEASURES = ("VOL", "RATE", "ENERGY", "BTU", "HEAT")
@@ -96,6 +106,25 @@ def metrics_in(question: str) -> list[str]:
     return [m for m, words in (RESOURCES | FLOWS).items() if any(w in q for w in words)]
 
 
+def metrics_column(text: Column) -> Column:
+    """The metrics that each question of a column names, as an array; general ones only where no resource is named."""
+    q = F.lower(F.coalesce(text, F.lit("")))
+    found = F.filter(F.array(*[F.when(q.rlike("|".join(words)), F.lit(m)) for m, words in METRIC_WORDS.items()]), lambda m: m.isNotNull())
+    resources = F.filter(found, lambda m: m.isin(*RESOURCE_NAMES))
+    return F.when(F.size(resources) > 0, resources).otherwise(found)
+
+
+def detail_column(text: Column) -> Column:
+    """detailed, normal or brief for a column of questions; the words that ask for it stand alone, so that small asks for nothing."""
+    q = F.lower(F.coalesce(text, F.lit("")))
+    alone = lambda words: rf"\b({'|'.join(words)})\b"
+    return F.when(q.rlike(alone(DETAILED)), "detailed").when(q.rlike(alone(BRIEF)), "brief").otherwise("normal")
+
+
+def chunks_wanted(mode: Column) -> Column:
+    return F.element_at(F.create_map(*[x for m, n in CHUNKS.items() for x in (F.lit(m), F.lit(n))]), mode)
+
+
 def metric_columns(metrics: list[str], columns: list[str]) -> list[str]:
     """Columns of a measure that fit one of the resources asked for and all of the flows; units of measure left out."""
     resources, flows = [m for m in metrics if m in RESOURCES], [m for m in metrics if m in FLOWS]
