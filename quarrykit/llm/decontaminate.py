@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import NOT_ITEM_WORD, ascii_lower, cut, table, text_hash, words
+from quarrykit.llm.common import NOT_ITEM_WORD, ascii_lower, cut, stored, table, text_hash, words
 
 WINDOW, SHINGLE = 10, 5
 #: Windows are broadcast in blocks of at most this many, each some 300 bytes; more blocks mean more passes.
@@ -63,7 +63,7 @@ def occurrences(docs: DataFrame, of: DataFrame, lengths: list[int], window: int)
     The explode, the hash and the broadcast join run in one generated stage; nothing is shuffled.
     """
     known = F.broadcast(of.select(F.col("h").alias("_h")).distinct())
-    tokens = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_hash(F.col("text")).alias("text_hash"), item_words(F.col("text")).alias("all"))
+    tokens = docs.select("rid", "doc_id", text_hash(F.col("text")).alias("text_hash"), item_words(F.col("text")).alias("all"))
     placed = tokens.select("rid", "doc_id", "text_hash", "all", F.posexplode_outer("all").alias("at", "word"))
     hashes = [shingle_at(F.col("all"), F.col("at"), n) for n in lengths]
     placed = placed.withColumn("h", hashes[0]) if len(hashes) == 1 else placed.withColumn("h", F.explode(F.array(*hashes)))
@@ -86,6 +86,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     short = [r[0] for r in distinct.select(F.least(F.size("tokens"), F.lit(shingle)).alias("n")).distinct().collect()]
     found, base = [], None
     blocks = -(-many // block)
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    docs = docs if blocks == 1 else stored(docs, "decontaminate")  # every block must see the same ids
     for b in range(blocks):
         part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == b)
         parts = cut(shingles(part, sorted(short)))

@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Training counts the n-grams (a letter run with its edges) of a bounded sample of labelled texts per language. A
-language contains an n-gram whose rate in it is at least MIN_RATE and MIN_SHARE of the highest rate in any language.
+Training counts the n-grams (a letter run with its edges) of a bounded sample of labelled texts per language; those that
+a language's sample holds once only, such as typing errors, are left out. A language contains an n-gram whose rate in it is at least MIN_RATE and MIN_SHARE of the highest rate in any language.
 The filters of all languages lie side by side: slot s holds one bit per language, so the AND of the slots of an
 n-gram is the bitmask of all languages that contain it. Of a text, the n-grams with each bit are counted, the counts
 are corrected for the filter's false positives, and the highest decides. The score is its share of all counts.
