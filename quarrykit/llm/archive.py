@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import cut, shared_folder, table
+from quarrykit.llm.common import cut, shared_folder, small, table
 
 LEAST = 1000
 #: A package is closed after so many records or bytes; its index is held in memory until then.
@@ -90,6 +90,8 @@ def write_packages(pages: DataFrame, least: int = LEAST) -> DataFrame:
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), (F.octet_length(html) >= least).alias("large"))
     alike = pages.filter("large").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select(F.col("digest").alias("_digest"), "last")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last"))
+    # a row for each payload that is met again; few of them go to all tasks, so that pages stay where they are read
+    alike = small(cut(alike))
     ready = pages.join(alike, (F.col("digest") == F.col("_digest")) & F.col("large"), "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
