@@ -1,4 +1,4 @@
-"""Grouped aggregation, shares, comparisons, rankings, audits. All lazy; top-k always has a tiebreak."""
+"""Grouped aggregation, shares, comparisons, rankings, audits. Lazy but for medians and places in an order; top-k always has a tiebreak."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.order import placed
 from quarrykit.operators.quantiles import quantiles
 
 #: Aggregates by name.
@@ -146,5 +147,7 @@ def rankings(df: DataFrame, group: str, columns: list[str], k: int = 5) -> DataF
 def chart_series(df: DataFrame, x: str, y: str, kind: str, k: int = 10) -> DataFrame:
     """(at, x, y), the points of a chart: for bars the k greatest sums, for a line the sums in order of x."""
     sums = df.groupBy(F.col(x).cast("string").alias("x")).agg(F.sum(y).cast("double").alias("y"))
-    best = sums.orderBy(F.desc("y"), "x").limit(k) if kind == "bar" else sums
-    return best.withColumn("at", F.row_number().over(Window.orderBy(F.desc("y"), "x") if kind == "bar" else Window.orderBy("x"))).select("at", "x", "y")
+    if kind == "bar":
+        best = sums.orderBy(F.desc("y"), "x").limit(k)  # k rows
+        return best.withColumn("at", F.row_number().over(Window.orderBy(F.desc("y"), "x"))).select("at", "x", "y")
+    return placed(sums, ["x"], "at").select((F.col("at") + 1).cast("int").alias("at"), "x", "y")

@@ -1,26 +1,24 @@
-"""Trends over time order and anomalies. Positions in order are numbered day by day, so no task sees all rows."""
+"""Trends over time order and anomalies. Positions in order are counted by ranges, so no task sees all rows, nor all of a day."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.operators.order import placed
 from quarrykit.operators.quantiles import quantiles
 
 
-def positioned(df: DataFrame, ts: str, tiebreak: str, unit: str = "day") -> DataFrame:
-    """``pos`` from 0 in the order of (ts, tiebreak): rows are ranked within their day, days by running count."""
-    df = df.withColumn("_day", F.date_trunc(unit, ts))
-    days = df.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = days.select(F.col("_day").alias("_d"), (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_day").orderBy(ts, tiebreak))
-    return df.withColumn("_rank", rank).join(before, F.col("_day") == F.col("_d")).withColumn("pos", F.col("_before") + F.col("_rank") - 1).drop("_day", "_d", "_n", "_before", "_rank")
+def positioned(df: DataFrame, ts: str, value: str, tiebreak: str) -> DataFrame:
+    """(ts, tiebreak, value, pos): values that are there with their place from 0 in the order of (ts, tiebreak)."""
+    columns = list(dict.fromkeys((ts, tiebreak, value)))
+    return placed(df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*columns), [ts, tiebreak], "pos")
 
 
 def trend_ols(df: DataFrame, ts: str, value: str, tiebreak: str, least: int = 5) -> DataFrame:
     """Slope per position of non-null values, stable below a hundredth of their deviation; change from first to last."""
     v = F.col(value).cast("double")
-    one = positioned(df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()), ts, tiebreak).agg(
+    one = positioned(df, ts, value, tiebreak).agg(
         F.count("*").alias("n"), F.regr_slope(v, F.col("pos").cast("double")).alias("slope"), F.stddev_samp(v).alias("std"), F.min_by(v, F.col("pos")).alias("first_value"), F.max_by(v, F.col("pos")).alias("last_value")
     )
     direction = F.when(F.abs("slope") < 0.01 * F.col("std"), "stable").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
@@ -30,7 +28,7 @@ def trend_ols(df: DataFrame, ts: str, value: str, tiebreak: str, least: int = 5)
 
 def trend_thirds(df: DataFrame, ts: str, value: str, tiebreak: str, threshold: float = 5.0) -> DataFrame:
     """Mean of the last third of the values against that of the first; with label and confidence by number of values."""
-    rows = positioned(df.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()), ts, tiebreak)
+    rows = positioned(df, ts, value, tiebreak)
     n = rows.count()
     third = n // 3
     one = rows.agg(F.avg(F.when(F.col("pos") < third, F.col(value))).alias("first_mean"), F.avg(F.when(F.col("pos") >= n - third, F.col(value))).alias("last_mean"))

@@ -226,3 +226,14 @@ def test_semantic_types(spark):
     df = spark.createDataFrame(rows, "n int, small int, v double, day string, note string, none string, flag boolean, row_id int")
     assert {r["name"]: r["kind"] for r in profile.semantic_types(df).collect()} == {"n": "id", "small": "numeric", "v": "numeric", "day": "datetime", "note": "text", "none": "unknown", "flag": "boolean", "row_id": "id"}
     assert {r["name"]: r["kind"] for r in profile.semantic_types(df.limit(0)).collect()}["note"] == "unknown"
+
+
+def test_places_in_an_order(spark):
+    """Also where nearly all rows have one value."""
+    from quarrykit.operators.order import placed
+
+    rows = [(7 if i % 10 else i, i) for i in range(5000)]
+    got = placed(spark.createDataFrame(rows, "v int, id int").repartition(9), ["v", F.desc("id")], "place").collect()
+    want = sorted(rows, key=lambda r: (r[0], -r[1]))
+    assert [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(5000))
+    assert placed(spark.createDataFrame([], "v int"), ["v"], "place").collect() == []
