@@ -31,12 +31,10 @@ from quarrykit.llm.common import cut, pieces, table
 SAMPLE = 20_000
 #: A term stands in MIN_DF texts of the sample; one that tells nothing of the label has FLOOR of its IDF.
 MIN_DF, FLOOR = 2, 0.01
-#: Blocks of 64 with 128 terms are skipped more often (half of them on 17,000 examples, of these a third), yet cost more in all.
-K, BLOCK, COMMON = 15, 128, 256
+#: Blocks of 64 with 128 terms are skipped more often (half of them on 17,000 examples, of these a quarter), yet cost more in all.
+K, BLOCK, COMMON = 15, 256, 256
 #: So many texts are searched together; float32 sums are at most this far from the exact ones.
 TOGETHER, NEAR = 32, 1e-5
-#: Multiplications of one product that stay in one thread.
-ONE_THREAD = 1 << 18
 TOXIC = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,12 +51,6 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a @ b`` in parts for which the matrix library takes one thread: a task has one core, and threads that wait for work burn others."""
-    rows = max(1, ONE_THREAD // max(b.size, 1))
-    return np.concatenate([a[i : i + rows] @ b for i in range(0, len(a), rows)]) if len(a) > rows else a @ b
-
-
 #: The numbers of the terms of a text, sorted, and how often they stand in it, as int32 bytes.
 Query = tuple[bytes, bytes]
 
@@ -101,7 +93,6 @@ class Examples:
         w = w / np.where(norm[x] > 0, norm[x], 1)
         # by example, for exact scores; by term, for the search, where float32 will do
         self.first, self.own_w = np.cumsum(self.size) - self.size, w
-        order = np.argsort(t, kind="stable")
         # examples of one heaviest term stand in one block, so that its bounds without that term are low
         heaviest = np.zeros(len(self.ids), np.int64)
         by_weight = np.argsort(w, kind="stable")
@@ -109,7 +100,9 @@ class Examples:
         self.at = np.lexsort((np.arange(len(self.ids)), heaviest, -np.bincount(heaviest, minlength=many)[heaviest])) if many else np.zeros(0, np.int64)
         self.place = np.empty(len(self.at), np.int32)
         self.place[self.at] = np.arange(len(self.at), dtype=np.int32)
-        self.example, self.w = self.place[x[order]] if many else x, w[order].astype(np.float32)
+        slot = self.place[x] if many else x
+        order = np.lexsort((slot, t))  # a term's postings in the order of blocks, as memory lies
+        self.example, self.w = slot[order], w[order].astype(np.float32)
         self.blocks = -(-len(self.at) // BLOCK)
         self.seg_size = df.astype(np.int64)
         self.seg_start = np.cumsum(self.seg_size) - self.seg_size
@@ -144,13 +137,13 @@ class Examples:
             if skip is not None:
                 scores[i, self.place[skip[i]]] = -9
         blocks = scores.reshape(many, self.blocks, BLOCK)
-        bound = blocks.max(axis=2, initial=-9) + product(common, self.most)
+        bound = blocks.max(axis=2, initial=-9) + common @ self.most
         top, opened = np.full((many, k), -np.inf, np.float32), np.zeros((many, self.blocks), bool)
         self.met += opened.size
         for at in np.argsort(-bound.max(axis=0, initial=-9), kind="stable"):
             active = np.flatnonzero(bound[:, at] >= top[:, 0] - NEAR)  # others have k better ones already
             if len(active):
-                found = blocks[active, at] + product(common[active], self.dense[at])
+                found = blocks[active, at] + common[active] @ self.dense[at]
                 blocks[active, at], opened[active, at] = found, True
                 top[active] = np.partition(np.concatenate((top[active], found), axis=1), -k, axis=1)[:, -k:]
                 top[active, 0] = top[active].min(axis=1)
