@@ -17,6 +17,7 @@ every score is the rate of what there is (0 without any). Evidence is the exampl
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,15 +38,29 @@ K, BLOCK, COMMON = 15, 256, 256
 TOGETHER, NEAR = 32, 1e-5
 TOXIC = 0.7
 WORD = re.compile(r"[^\W\d_]+")
+#: What the characters of Latin-1 are to WORD: letters in lower case, all else a space.
+LATIN = bytes(ord(c.lower()) if WORD.fullmatch(c) else 32 for c in map(chr, range(256)))
+
+
+def words(text: str) -> list[str]:
+    """The words of a text in lower case; where all characters are of Latin-1, by one table."""
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def counts(text: str | None, known: dict[str, int] | None = None) -> Counter:
     found: Counter = Counter()
-    for piece in pieces((text or "").lower()):
-        found.update(WORD.findall(piece) if known is None else filter(known.__contains__, WORD.findall(piece)))
+    for piece in pieces(text or ""):
+        found.update(words(piece) if known is None else filter(known.__contains__, words(piece)))
     return found
 
 
+#: Which half of a 64-bit number has its low bits.
+LOW = int(sys.byteorder == "big")
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges from ``starts``, one after the other."""
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -102,7 +117,8 @@ class Examples:
         self.place[self.at] = np.arange(len(self.at), dtype=np.int32)
         slot = self.place[x] if many else x
         order = np.lexsort((slot, t))  # a term's postings in the order of blocks, as memory lies
-        self.example, self.w = slot[order], w[order].astype(np.float32)
+        # an example's place and its weight in one number, as a search takes both
+        self.postings = slot[order].astype(np.int64) << 32 | w[order].astype(np.float32).view(np.uint32)
         self.blocks = -(-len(self.at) // BLOCK)
         self.seg_size = df.astype(np.int64)
         self.seg_start = np.cumsum(self.seg_size) - self.seg_size
@@ -113,7 +129,7 @@ class Examples:
         dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         for i, c in enumerate(common):
             p = slice(self.seg_start[c], self.seg_start[c] + self.seg_size[c])
-            dense[i, self.example[p]] = self.w[p]
+            dense[i, self.postings[p] >> 32] = self.postings[p].view(np.float32)[LOW::2]
         self.dense = np.ascontiguousarray(dense.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
         self.most = self.dense.max(axis=2).T if dense.size else np.zeros((len(common), self.blocks), np.float32)
         bare = norm == 0
@@ -132,8 +148,8 @@ class Examples:
             common[i, row[row >= 0]] = q[row >= 0]
             t, q = t[row < 0], q[row < 0]
             sizes = self.seg_size[t]
-            p = spans(self.seg_start[t], sizes)
-            scores[i] = np.bincount(self.example[p], np.repeat(q, sizes) * self.w[p], minlength=self.blocks * BLOCK)
+            found = self.postings[spans(self.seg_start[t], sizes)]
+            scores[i] = np.bincount(found >> 32, np.repeat(q, sizes) * found.view(np.float32)[LOW::2], minlength=self.blocks * BLOCK)
             if skip is not None:
                 scores[i, self.place[skip[i]]] = -9
         blocks = scores.reshape(many, self.blocks, BLOCK)
@@ -145,16 +161,21 @@ class Examples:
             if len(active):
                 found = blocks[active, at] + common[active] @ self.dense[at]
                 blocks[active, at], opened[active, at] = found, True
-                top[active] = np.partition(np.concatenate((top[active], found), axis=1), -k, axis=1)[:, -k:]
-                top[active, 0] = top[active].min(axis=1)
+                better = found.max(axis=1) > top[active, 0]
+                if better.any():
+                    some = active[better]
+                    top[some] = np.partition(np.concatenate((top[some], found[better]), axis=1), -k, axis=1)[:, -k:]  # the k-th best comes first
         self.opened += int(opened.sum())
         out, query_of = [], np.zeros(len(self.idf))
         for i, (t, q) in enumerate(vectors):
             least = max(float(top[i, 0]) - NEAR, 0.0)
-            ids = np.sort(self.at[np.flatnonzero(((blocks[i] >= least) & (blocks[i] > 0) & opened[i][:, None]).ravel()[:n])])
+            near = np.flatnonzero(scores[i, :n] >= least)
+            ids = np.sort(self.at[near[(scores[i, near] > 0) & opened[i, near // BLOCK]]])
             query_of[t] = q
-            p, sizes = spans(self.first[ids], self.size[ids]), self.size[ids]
-            exact = np.bincount(np.repeat(np.arange(len(ids)), sizes), query_of[self.own_term[p]] * self.own_w[p], minlength=len(ids)).round(12)
+            sizes = self.size[ids]
+            rows = list(map(slice, self.first[ids].tolist(), (self.first[ids] + sizes).tolist()))
+            own, w = (np.concatenate([part[r] for r in rows]) if rows else part[:0] for part in (self.own_term, self.own_w))
+            exact = np.bincount(np.repeat(np.arange(len(ids)), sizes), query_of[own] * w, minlength=len(ids)).round(12)
             query_of[t] = 0
             best = np.lexsort((ids, -exact))[:k]
             out.append((ids[best], exact[best]))
@@ -179,8 +200,8 @@ class Examples:
 
     def query(self, text: str | None) -> Query:
         found: Counter = Counter()
-        for piece in pieces((text or "").lower()):
-            found.update(map(self.terms.get, WORD.findall(piece)))
+        for piece in pieces(text or ""):
+            found.update(map(self.terms.get, words(piece)))
         found.pop(None, None)
         t, tf = np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))
         order = np.argsort(t)

@@ -518,6 +518,13 @@ def test_toxicity_skips_blocks(monkeypatch, block, common, most):
         assert ids.tolist() == best.tolist() and np.allclose(cosines, score[best])
 
 
+def test_toxicity_words_by_table():
+    """The table for Latin-1 and the pattern for the rest give the words that the pattern gives, whatever stands between them."""
+    every = "".join(f"a{chr(c)}B" for c in range(256))
+    for text in (every, every.upper(), "", " ", "Straße_ÀÉ2x \x1cy\x85z\xa0", "ΣΑΣ İx " + every, "\u2019tis\u3000so"):
+        assert toxicity.words(text) == toxicity.WORD.findall(text.lower())
+
+
 def test_toxicity_of_contradicting_and_repeated_labels(spark):
     docs = spark.createDataFrame([(i, "mean words here " + str(i % 3)) for i in range(6)] + [(i, "kind words there " + str(i % 3)) for i in range(6, 12)] + [(0, "mean words here 0")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)] + [(0, 0), (7, None), (None, 1)], "doc_id long, toxic int")
