@@ -35,9 +35,9 @@ def bm25(docs: DataFrame, text: str, query: list[str], k: int = 10, within: Colu
 
 
 def index_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): the postings, to be written partitioned or sorted by term; documents without tokens have a null term."""
+    """(term, key, tf, dl): the postings, to be written partitioned or sorted by term; each document has a row without a term too, for its length."""
     marked = docs.select(key, F.transform(F.array(tokens(F.col(text))), lambda ts: ts)[0].alias("_t"))
-    words = marked.select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    words = marked.select(key, F.size("_t").alias("dl"), F.explode(F.array_append("_t", F.lit(None).cast("string"))).alias("term"))
     return words.groupBy("term", key, "dl").agg(F.count("term").alias("tf"))
 
 
@@ -47,14 +47,18 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 
 
 def search_index(postings: DataFrame, key: str, query: list[str], k: int = 10) -> DataFrame:
-    """(key, score) of the k best by BM25: only the query's terms are read from the postings, but all lengths."""
-    asked = postings.sparkSession.createDataFrame(list(Counter(query).items()), "term string, times int")
-    lengths = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
-    found = postings.join(F.broadcast(asked), "term")  # the words of one query
-    of_term = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(EPSILON))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
-    return found.join(of_term, "term").join(F.broadcast(lengths), how="cross").groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    """(key, score) of the k best by BM25: of the postings only the query's terms and the rows of lengths are read, or made if they are not stored."""
+    times = Counter(query)
+    found = postings.filter(F.col("term").isin(*times))
+    stats = {r["term"]: r for r in postings.filter(F.col("term").isNull() | F.col("term").isin(*times)).groupBy("term").agg(F.count("*").alias("n"), F.avg("dl").alias("av")).collect()}  # the words of one query
+    every = stats.pop(None, None)
+    if not stats:
+        return found.select(key, F.lit(0.0).alias("score")).limit(0)
+    n, average = F.lit(float(every["n"])), every["av"]
+    idf = {t: F.greatest(F.log((n - float(r["n"]) + 0.5) / (F.lit(float(r["n"])) + 0.5) + 1), F.lit(EPSILON)) * times[t] for t, r in stats.items()}
+    weight = F.element_at(F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), w)]), F.col("term"))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+    return found.groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def best_per_group(vectors: DataFrame, column: str, query: list[float], group: str, key: str, k: int = 3) -> DataFrame:

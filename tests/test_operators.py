@@ -237,3 +237,15 @@ def test_places_in_an_order(spark):
     want = sorted(rows, key=lambda r: (r[0], -r[1]))
     assert [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(5000))
     assert placed(spark.createDataFrame([], "v int"), ["v"], "place").collect() == []
+
+
+def test_a_search_makes_only_its_terms(spark):
+    """Lengths stand in rows of their own, so that a search needs no other term; it gives what the search in the row gives."""
+    df = spark.createDataFrame([(1, "well oil well"), (2, "oil gas"), (3, None), (4, "the of"), (5, "gas gas gas field")], "id long, t string")
+    postings = retrieve.index_terms(df, "id", "t")
+    assert sorted((r["id"], r["dl"], r["tf"]) for r in postings.filter("term is null").collect()) == [(1, 3, 0), (2, 2, 0), (3, 0, 0), (4, 0, 0), (5, 4, 0)]
+    for query in (["well", "gas", "gas"], ["nowhere"], []):
+        want = retrieve.bm25(df, "t", query).select("id", "score").collect() if query else []
+        found = retrieve.search_index(postings, "id", query)
+        assert [(r["id"], round(r["score"], 12)) for r in found.collect()] == [(r["id"], round(r["score"], 12)) for r in want]
+    assert retrieve.term_statistics(postings).count() == 4
