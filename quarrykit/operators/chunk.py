@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +34,33 @@ def windows(text: str, size: int, overlap: int) -> Iterator[str]:
         at = max(end - overlap, at + 1)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _windows(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([list(windows(t or "", int(n), int(o))) for t, n, o in zip(texts, size, overlap, strict=True)])
-
+def sentence_windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, most: int = 1 << 20) -> DataFrame:
+    """(key, chunk, piece): like ``fixed``, but a window ends with a sentence where it can; null and empty texts have none.
 
-def sentence_windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(key, chunk, piece): like ``fixed``, but a window ends with a sentence where it can; null and empty texts have none."""
-    return docs.select(key, F.posexplode(_windows(F.col(text), F.lit(size), F.lit(overlap))).alias("chunk", "piece"))
+    Pieces leave a task by about ``most`` characters, so that it holds one batch of texts and no more.
+    """
+    schema = T.StructType([docs.select(key).schema[0], T.StructField("chunk", T.IntegerType()), T.StructField("piece", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, str]] = []
+            held = 0
+
+            def out() -> pa.RecordBatch:
+                of, chunks, pieces = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(chunks, pa.int32()), pa.array(pieces, pa.string())], schema.names)  # noqa: B023
+
+            for i in range(batch.num_rows):
+                for chunk, piece in enumerate(windows(batch.column(1)[i].as_py() or "", size, overlap)):
+                    rows.append((i, chunk, piece))
+                    held += len(piece)
+                    if held >= most:
+                        yield out()
+                        rows, held = [], 0
+            if rows:
+                yield out()
+
+    return docs.select(key, text).mapInArrow(cut, schema)
 
 
 def split_table(text: str, tokens: int, spare: int = 50) -> Iterator[str]:

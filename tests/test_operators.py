@@ -239,6 +239,14 @@ def test_places_in_an_order(spark):
     assert placed(spark.createDataFrame([], "v int"), ["v"], "place").collect() == []
 
 
+def test_windows_leave_in_parts(spark):
+    """Pieces of a batch leave a task in parts of some characters, texts longer than these too, each with its key and number."""
+    texts = ["", None, "x" * 950 + ". " + "y" * 3000, "One sentence. " * 400, "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    got = [tuple(r) for r in chunk.sentence_windows(df, "id", "t", most=2000).collect()]
+    assert got == [(i, n, piece) for i, t in enumerate(texts) for n, piece in enumerate(chunk.windows(t or "", 1000, 200))]
+
+
 def test_a_search_makes_only_its_terms(spark):
     """Lengths stand in rows of their own, so that a search needs no other term; it gives what the search in the row gives."""
     df = spark.createDataFrame([(1, "well oil well"), (2, "oil gas"), (3, None), (4, "the of"), (5, "gas gas gas field")], "id long, t string")
