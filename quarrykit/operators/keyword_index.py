@@ -3,7 +3,7 @@
 A segment holds two Parquet tables. ``postings``: a row for each term and bucket of documents, in the order of terms, so
 that a search reads the row groups of its own terms; it has the documents, their term frequencies and lengths as arrays,
 and beside them how many they are, the greatest frequency and the least length, which bound every score in the row.
-``docs``: key, length, hash of the text and distinct terms of each document. Documents are dealt to buckets of about
+``docs``: key, length, hash of the text and tokens of each document, joined by spaces; postings are made of it. Documents are dealt to buckets of about
 BUCKET by a hash of their key, the same for all terms, so a bucket's bounds of the query's terms add up to a bound of its
 documents' scores.
 
@@ -21,8 +21,12 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrykit.functions.hygiene import chunk_hash, tokens
 from quarrykit.operators.retrieve import EPSILON, K1, B
@@ -41,6 +45,21 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def postings(docs: pa.Table) -> pa.Table:
+    """The rows of one bucket, a row for each term, of its documents (bucket, key, dl, words), in the order of keys."""
+    docs = docs.sort_by("key").combine_chunks()
+    many, lists = docs.num_rows, pc.split_pattern(docs["words"].combine_chunks(), " ")
+    terms = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(many), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    pairs, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * many + row, return_counts=True)
+    term, row = np.divmod(pairs, many)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    offsets, dl = pa.array(np.append(starts, len(term)), pa.int32()), docs["dl"].to_numpy()[row]
+    listed = [pa.ListArray.from_arrays(offsets, c) for c in (docs["key"].combine_chunks().take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(dl, pa.int32()))]
+    numbers = [np.full(len(starts), docs["bucket"][0].as_py()), np.diff(np.append(starts, len(term))), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+    return pa.table([terms.dictionary.take(pa.array(term[starts])), *[pa.array(x, pa.int32()) for x in numbers], *listed], ["term", "bucket", "n", "most", "least", "keys", "tfs", "dls"])
+
+
 @dataclass
 class Found:
     """One search: rows (key, score), and how many posting rows its terms have and how many of them were read."""
@@ -79,23 +98,29 @@ class KeywordIndex:
         return self.spark.read.parquet(*[f"{self.path}/deleted/{n}" for n in state["deleted"]]) if state["deleted"] else None
 
     def live(self, state: dict) -> DataFrame:
-        """(key, dl, hash, terms, segment) of the documents that are there."""
+        """(key, dl, hash, words, segment) of the documents that are there."""
         docs, gone = self.read(state, "docs"), self.deletions(state)
         return docs if gone is None else docs.join(few(gone.select("segment", self.key)), ["segment", self.key], "left_anti")
 
     # -- changes ---------------------------------------------------------------------------------------------------
 
-    def write(self, words: DataFrame, docs: DataFrame, buckets: int) -> str:
-        """A segment of words (key, term, dl, tf) and docs (key, dl, hash, terms)."""
+    def write(self, docs: DataFrame) -> tuple[str, int, int, int]:
+        """A segment of docs (key, dl, hash, words): its name, buckets, documents and tokens.
+
+        Texts are shuffled once, by bucket; what is put in the order of terms is a row for each term and bucket.
+        """
         name = uuid.uuid4().hex
-        dealt = words.select("term", F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int").alias("bucket"), self.key, "tf", "dl")
-        # dealt by term and bucket once: the sums by key and the rows by bucket need no other shuffle
-        each = dealt.repartitionByRange("term", "bucket").groupBy("term", "bucket", self.key).agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        rows = each.groupBy("term", "bucket").agg(F.array_sort(F.collect_list(F.struct(self.key, "tf", "dl"))).alias("in"), F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
-        plain = rows.select("term", "bucket", "n", "most", "least", *[F.col(f"in.{c}").alias(to) for c, to in ((self.key, "keys"), ("tf", "tfs"), ("dl", "dls"))])
-        plain.sortWithinPartitions("term", "bucket").write.parquet(f"{self.path}/postings/segment={name}")
-        docs.select(self.key, "dl", "hash", "terms").write.parquet(f"{self.path}/docs/segment={name}")
-        return name
+        docs.select(self.key, "dl", "hash", "words").write.parquet(f"{self.path}/docs/segment={name}")
+        docs = self.spark.read.parquet(f"{self.path}/docs/segment={name}")
+        size, length = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        buckets = -(-size // self.bucket)
+        dealt = docs.filter("dl > 0").select(F.pmod(F.xxhash64(self.key), F.lit(max(buckets, 1))).cast("int").alias("bucket"), F.col(self.key).alias("key"), "dl", "words")
+        schema = T.StructType().add("term", T.StringType()).add("bucket", T.IntegerType()).add("n", T.IntegerType()).add("most", T.IntegerType()).add("least", T.IntegerType()).add("keys", T.ArrayType(docs.schema[self.key].dataType)).add("tfs", T.ArrayType(T.IntegerType())).add("dls", T.ArrayType(T.IntegerType()))
+        # to the order of terms from files, as ranges are taken from a run of their own
+        dealt.groupBy("bucket").applyInArrow(postings, schema).write.parquet(f"{self.path}/staged/segment={name}")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/staged/segment={name}")
+        rows.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.parquet(f"{self.path}/postings/segment={name}")
+        return name, buckets, size, length
 
     def add(self, docs: DataFrame, dedup: bool = False) -> int:
         """Add documents as one segment and return how many; with ``dedup`` only the first by key of each text the index lacks."""
@@ -114,16 +139,11 @@ class KeywordIndex:
         return self._add(state, new)
 
     def _add(self, state: dict, new: DataFrame) -> int:
-        size = new.count()
-        if not size:
-            return 0
         # a lambda over one element: the tokens are made once a row
-        marked = new.select(self.key, chunk_hash(F.coalesce("text", F.lit(""))).alias("hash"), F.transform(F.array(tokens(F.col("text"))), lambda ts: F.struct(F.size(ts).alias("dl"), ts.alias("ts")))[0].alias("_t"))
-        words = marked.select(self.key, F.col("_t.dl").alias("dl"), F.explode("_t.ts").alias("term"), F.lit(1).alias("tf"))
-        buckets = -(-size // self.bucket)
-        name = self.write(words, marked.select(self.key, "_t.dl", "hash", F.array_distinct("_t.ts").alias("terms")), buckets)
-        length = self.read(state, "docs", [name]).agg(F.sum("dl")).first()[0] or 0
-        self.swap(state | {"docs": state["docs"] + size, "tokens": state["tokens"] + length, "segments": [*state["segments"], {"name": name, "buckets": buckets}]})
+        marked = new.select(self.key, chunk_hash(F.coalesce("text", F.lit(""))).alias("hash"), F.transform(F.array(tokens(F.col("text"))), lambda ts: F.struct(F.size(ts).alias("dl"), F.array_join(ts, " ").alias("words")))[0].alias("_t"))
+        name, buckets, size, length = self.write(marked.select(self.key, "_t.dl", "hash", "_t.words"))
+        if size:
+            self.swap(state | {"docs": state["docs"] + size, "tokens": state["tokens"] + length, "segments": [*state["segments"], {"name": name, "buckets": buckets}]})
         return size
 
     def delete(self, keys: DataFrame) -> int:
@@ -132,7 +152,7 @@ class KeywordIndex:
         if not state["segments"]:
             return 0
         name = uuid.uuid4().hex
-        self.live(state).join(few(keys.select(self.key).distinct()), self.key, "left_semi").select("segment", self.key, "dl", "terms").write.parquet(f"{self.path}/deleted/{name}")
+        self.live(state).join(few(keys.select(self.key).distinct()), self.key, "left_semi").select("segment", self.key, "dl", F.array_distinct(F.split("words", " ")).alias("terms")).write.parquet(f"{self.path}/deleted/{name}")
         gone = self.spark.read.parquet(f"{self.path}/deleted/{name}").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).first()
         if gone["n"]:
             self.swap(state | {"docs": state["docs"] - gone["n"], "tokens": state["tokens"] - gone["dl"], "deleted": [*state["deleted"], name]})
@@ -148,13 +168,9 @@ class KeywordIndex:
         state = self.state()
         if len(state["segments"]) + len(state["deleted"]) < 2:
             return
-        rows, gone = self.read(state, "postings"), self.deletions(state)
-        words = rows.select("segment", "term", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")).select("segment", "term", F.col("p.keys").alias(self.key), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
-        words = words if gone is None else words.join(few(gone.select("segment", self.key)), ["segment", self.key], "left_anti")
         if not state["docs"]:
             return self.swap(state | {"segments": [], "deleted": []})
-        buckets = -(-state["docs"] // self.bucket)
-        name = self.write(words, self.live(state), buckets)
+        name, buckets, _, _ = self.write(self.live(state))
         self.swap(state | {"segments": [{"name": name, "buckets": buckets}], "deleted": []})
 
     # -- search ----------------------------------------------------------------------------------------------------

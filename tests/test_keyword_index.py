@@ -2,11 +2,12 @@
 
 import glob
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import retrieve
-from quarrykit.operators.keyword_index import KeywordIndex
+from quarrykit.operators.keyword_index import KeywordIndex, postings
 
 FOLDER = "/root/testdata/sf0.01"
 TERMS = ["idiot", "stupid", "onthe", "idiot"]
@@ -85,3 +86,10 @@ def test_dedup_keys_and_odd_texts(spark, tmp_path):
     index.merge()
     assert index.state()["segments"] == [] and index.search(["well"]).hits.collect() == []
     assert len(glob.glob(str(tmp_path / "index/versions/at=*/*.parquet"))) == index.state()["version"]
+
+
+def test_postings_of_a_bucket():
+    """A row for each term of a bucket, with the documents in the order of their keys and what bounds their scores."""
+    docs = pa.table({"bucket": pa.array([3, 3, 3], pa.int32()), "key": ["c", "a", "b"], "dl": pa.array([3, 1, 2], pa.int32()), "words": ["oil well oil", "gas", "gas oil"]})
+    got = {r["term"]: (r["bucket"], r["n"], r["most"], r["least"], r["keys"], r["tfs"], r["dls"]) for r in postings(docs).to_pylist()}
+    assert got == {"oil": (3, 2, 2, 2, ["b", "c"], [1, 2], [2, 3]), "gas": (3, 2, 1, 1, ["a", "b"], [1, 1], [1, 2]), "well": (3, 1, 1, 3, ["c"], [1], [3])}
